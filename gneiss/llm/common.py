@@ -78,8 +78,10 @@ def _sweep() -> None:
 
 
 def buckets(df: DataFrame, mb_each: float, least: int = 8) -> int:
-    """A number of groups in proportion to the input's size on disk."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """A number of groups in proportion to the input's size on disk (as Catalyst knows it; where it doesn't, from partitions)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = df.rdd.getNumPartitions() * (8 << 20)
     return max(least, min(1 << 20, math.ceil(size / 1e6 / mb_each)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import exact_dedup, flac, packing
+from gneiss.llm import exact_dedup, flac, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_flac, op8_exact_dedup, op9_best_fit_packing)}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), size=13)
+
+
+QUERIES = {f.__name__: f for f in (op1_flac, op2_substring_dedup, op8_exact_dedup, op9_best_fit_packing)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
