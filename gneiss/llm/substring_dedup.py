@@ -12,7 +12,7 @@ positions are suffixes.
    still meets its equals in one of both groups. Groups are sized to a task's memory.
 3. Each group sorts its suffixes and takes the longest common prefixes of neighbours: the internal nodes of the group's
    subtree. A window that begins o words before its anchor is repeated where suffixes share a node of depth W-o and the o
-   words to the left; all but the node's smallest document are marked. Unions of marked windows are the maximal repeats.
+   words to the left; all but the node's smallest document are marked. Unions of marked windows are the maximal repeats; they travel as runs.
 
 Words are compared by 48-bit and prefixes by 64-bit hashes; a window counts as equal if all its word hashes are.
 
@@ -94,17 +94,27 @@ def anchors(h: np.ndarray, at: np.ndarray, size: int, prefix: int) -> tuple[np.n
     return out, v
 
 
-def _by_doc(ids: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def runs(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marked windows as (document, start << RUN | number of consecutive ones)."""
     if not len(ids):
-        return
-    order = np.lexsort((value, ids))
-    ids, value = ids[order], value[order]
-    cut = np.flatnonzero(np.diff(ids)) + 1
-    for i, v in zip(ids[np.concatenate([[0], cut])].tolist(), np.split(value, cut), strict=True):
-        yield i, v
+        return ids, start
+    order = np.lexsort((start, ids))
+    ids, start = ids[order], start[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > start[:-1] + 1) | (np.arange(1, len(ids)) % RUN_MOST == 0)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(ids)) - 1
+    return ids[at], (start[at] << RUN) | (start[last] - start[at] + 1)
+
+
+#: Bits of a run's length, and the longest run.
+RUN, RUN_MOST = 20, (1 << 20) - 1
+ROWS = "bucket int, kind int, id long, data binary"
+MARKS = "kind int, id long, v long"
 
 
-ROWS = "bucket int, kind int, id long, data binary"
+def _marks(kind: int, ids: np.ndarray, v: np.ndarray) -> pa.Table:
+    return pa.table({"kind": pa.array(np.full(len(ids), kind), pa.int32()), "id": pa.array(ids.astype(np.int64)), "v": pa.array(v.astype(np.int64))})
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,10 +147,12 @@ def _local(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups: in
             same &= h[p + j] == h[q + j]
         done = np.zeros(len(w), bool)
         done[p[same]] = True
-        rows = [((i & 0x7FFFFFFF) % groups, 1, i, pack(v)) for i, v in _by_doc(ids[w.doc[p[same]]], p[same] - w.first[w.doc[p[same]]])]
+        base, p = int(ids.min()), p[same]
+        i, v = runs(ids[w.doc[p]] - base, p - w.first[w.doc[p]])
+        rows = [(int(wh[0] >> np.uint64(33)) % groups, 1, base, pack(i.astype(np.uint64), v))] if len(p) else []
         a, v = anchors(h, at[~done[at]], size, prefix)
         a = np.unique(a)
-        key, base = v[a], int(ids.min())
+        key = v[a]
         to = _bucket(key, groups)
         order = np.lexsort((key, to))
         a, key, to = a[order], key[order], to[order]
@@ -153,36 +165,41 @@ def _local(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups: in
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    """Which prefixes of a bucket several documents have. kind 0: positions of a document, last bit: hot; kind 1 passes."""
-    kind = group["kind"].to_numpy()
-    marks = group.filter(pa.array(kind == 1))
-    parts = group.filter(pa.array(kind == 0))
-    rows = list(zip(marks["bucket"].to_pylist(), marks["kind"].to_pylist(), marks["id"].to_pylist(), marks["data"].to_pylist(), strict=True))
-    if len(parts):
-        got = [(*unpack(x, 3), i) for i, x in zip(parts["id"].to_pylist(), parts["data"].to_pylist(), strict=True)]
-        key = np.concatenate([g[0] for g in got])
-        ids = np.concatenate([g[1].astype(np.int64) + g[3] for g in got])
-        pos = np.concatenate([g[2] for g in got])
+    """Which prefixes of a bucket several documents have. kind 0: their positions, last bit: hot; kind 1: runs, as they came."""
+    kind, out = group["kind"].to_numpy(), []
+    for k in (0, 1):
+        part = group.filter(pa.array(kind == k))
+        if not len(part):
+            continue
+        got = [(i, unpack(x, 3 - k)) for i, x in zip(part["id"].to_pylist(), part["data"].to_pylist(), strict=True)]
+        ids = np.concatenate([g[1 - k].astype(np.int64) + i for i, g in got])
+        if k:
+            out.append(_marks(1, ids, np.concatenate([g[1] for _, g in got])))
+            continue
+        key, pos = np.concatenate([g[0] for _, g in got]), np.concatenate([g[2] for _, g in got])
         order = np.argsort(key, kind="stable")
         key, ids, pos = key[order], ids[order], pos[order]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(begin, len(key)))
         several = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin)
         sel = np.repeat(several, count)
-        hot = np.repeat(count > HOT, count)[sel]
-        rows += [(0, 0, i, pack(v)) for i, v in _by_doc(ids[sel], (pos[sel] << np.uint64(1)) | hot)]
-    return pa.Table.from_batches([_rows(rows)])
+        out.append(_marks(0, ids[sel], (pos[sel] << np.uint64(1)) | np.repeat(count > HOT, count)[sel].astype(np.uint64)))
+    return pa.concat_tables(out)
+
+
+def lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists as (row, value)."""
+    n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(col)), n), col.flatten().to_numpy(zero_copy_only=False)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups: int) -> Iterator[pa.RecordBatch]:
     """Packed suffixes for each group: document, position, the range of windows' offsets, and the words around."""
     more = (size - prefix) // 2
     for b in pieces(batches):
-        marks = column(b, "marks").to_pylist()
-        live = [i for i, m in enumerate(marks) if m]
-        if not live:
+        b = b.filter(column(b, "marks").is_valid())
+        if not b.num_rows:
             continue
-        b = b.take(pa.array(live))
         buf, off = flat(column(b, "text"))
         ids = longs(b, "id")
         w = split(buf, off)
@@ -190,12 +207,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups:
         at = windows(w, size)
         a, v = anchors(h, at, size, prefix)
         state = np.zeros(len(w), np.uint8)  # 1: kept prefix, 3: a hot one
-        for d, i in enumerate(live):
-            for m in marks[i]:
-                x = unpack(m, 1)[0].astype(np.int64)
-                p = w.first[d] + (x >> 1)
-                ok = p < w.first[d + 1]
-                state[p[ok]] |= (1 | ((x[ok] & 1) << 1)).astype(np.uint8)
+        d, x = lists(column(b, "marks"))
+        p = w.first[d] + (x >> 1)
+        ok = p < w.first[d + 1]
+        state[p[ok]] = 1
+        state[p[ok & (x & 1 == 1)]] = 3
         keep = state[a] > 0
         a, at = a[keep], at[keep]
         if not len(a):
@@ -276,36 +292,36 @@ def _subtrees(group: pa.Table, size: int, prefix: int) -> pa.Table:
     j = np.arange(max(1, int(most.max())))
     left = np.where(j < most[:, None], word[np.maximum((begin + most)[:, None] - 1 - j, 0)], 0)
     s, o = subtree_repeats(ids, least, most, left, right, size)
-    return pa.Table.from_batches([_rows([(0, 1, i, pack(v)) for i, v in _by_doc(ids[s], p[s] - o)])])
+    return _marks(1, *runs(ids[s], p[s] - o))
 
 
 def repeat_marks(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """(id, text, marks): each document with the packed starts of its repeated windows (null where it has none)."""
+    """(id, text, marks): each document with the runs of its repeated windows (null where it has none)."""
     spark = df.sparkSession
     ship(spark)
     prefix = min(prefix, size)
     docs = two_columns(df, id_col, text_col)
     groups = buckets(df, GROUP_MB)
     sent = docs.filter("id is not null").mapInArrow(partial(_local, size=size, prefix=prefix, groups=groups), ROWS)
-    first = save(sent.groupBy("bucket").applyInArrow(_repeated, ROWS), "prefixes")
+    first = save(sent.groupBy("bucket").applyInArrow(_repeated, MARKS), "prefixes")
 
     def with_marks(marks: DataFrame) -> DataFrame:
-        return docs.join(marks.groupBy(F.col("id").alias("key")).agg(F.collect_list("data").alias("marks")), F.col("id") == F.col("key"), "left").select("id", "text", "marks")
+        return docs.join(marks.groupBy(F.col("id").alias("key")).agg(F.collect_list("v").alias("marks")), F.col("id") == F.col("key"), "left").select("id", "text", "marks")
 
     suffixes = with_marks(first.filter("kind = 0")).mapInArrow(partial(_suffixes, size=size, prefix=prefix, groups=groups), ROWS)
-    global_marks = suffixes.groupBy("bucket").applyInArrow(lambda t: _subtrees(t, size, prefix), ROWS)
+    global_marks = suffixes.groupBy("bucket").applyInArrow(lambda t: _subtrees(t, size, prefix), MARKS)
     return with_marks(first.filter("kind = 1").unionByName(global_marks))
 
 
-def removed(w: Words, marks: list, size: int) -> np.ndarray:
+def removed(w: Words, marks: pa.Array, size: int) -> np.ndarray:
     """Per word, whether a marked window covers it."""
     step = np.zeros(len(w) + 1, np.int64)
-    for d, ms in enumerate(marks):
-        for m in ms or ():
-            s = w.first[d] + unpack(m, 1)[0].astype(np.int64)
-            s = s[s < w.first[d + 1]]
-            np.add.at(step, s, 1)
-            np.add.at(step, np.minimum(s + size, w.first[d + 1]), -1)
+    d, v = lists(marks)
+    s = w.first[d] + (v >> RUN)
+    end = np.minimum(s + (v & RUN_MOST) + size - 1, w.first[d + 1])
+    ok = s < end
+    np.add.at(step, s[ok], 1)
+    np.add.at(step, end[ok], -1)
     return np.cumsum(step)[:-1] > 0
 
 
@@ -316,7 +332,7 @@ def _digest(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     for b in pieces(batches):
         buf, off = flat(column(b, "text"))
         w = split(buf, off)
-        gone = removed(w, column(b, "marks").to_pylist(), size)
+        gone = removed(w, column(b, "marks"), size)
         out, at = join_words(buf, w, ~gone)
         raw = out.tobytes()
         n = np.diff(w.first)
@@ -333,7 +349,7 @@ def _spans(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
     for b in pieces(batches):
         buf, off = flat(column(b, "text"))
         w = split(buf, off)
-        gone = np.concatenate([[False], removed(w, column(b, "marks").to_pylist(), size), [False]])
+        gone = np.concatenate([[False], removed(w, column(b, "marks"), size), [False]])
         edge = gone[1:] != gone[:-1]
         edge[w.first[:-1]] |= gone[1:][w.first[:-1]] & gone[w.first[:-1]]
         ids, rows = column(b, "id").to_pylist(), []
@@ -355,7 +371,7 @@ def _kept(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for b in pieces(batches):
         buf, off = flat(column(b, "text"))
         w = split(buf, off)
-        gone = removed(w, column(b, "marks").to_pylist(), size)
+        gone = removed(w, column(b, "marks"), size)
         touched = np.bincount(w.doc[gone], minlength=b.num_rows) > 0
         out, at = join_words(buf, w, ~gone)
         raw, old = out.tobytes(), column(b, "text").to_pylist()
@@ -368,5 +384,18 @@ def kept_texts(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     return repeat_marks(df, size, id_col, text_col).mapInArrow(partial(_kept, size=size), "id long, text string")
 
 
+def without_repeats(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """df with the texts that remain; chars_col, where df has it, follows texts that change. Other columns are kept as they are.
+
+    Only texts that change are joined back to the rows; a row whose id is null keeps its text.
+    """
+    marked = repeat_marks(df, size, id_col, text_col).filter("marks is not null")
+    new = marked.mapInArrow(partial(_kept, size=size), "id long, text string").dropDuplicates(["id"]).select(F.col("id").alias("_new_id"), F.col("text").alias("_new_text"))
+    joined = df.join(new, F.col(f"`{id_col}`") == F.col("_new_id"), "left")
+    text = F.coalesce(F.col("_new_text"), F.col(f"`{text_col}`"))
+    out = {text_col: text} | ({chars_col: F.when(F.col("_new_text").isNotNull(), F.length("_new_text")).otherwise(F.col(f"`{chars_col}`"))} if chars_col in df.columns else {})
+    return joined.select(*[out[c].cast(df.schema[c].dataType).alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
+
+
 def substring_dedup(df: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return digests(repeat_marks(df, size, id_col, text_col), size)

@@ -60,24 +60,19 @@ def test_stages_without_spark(hot, monkeypatch):
 
     def grouped(parts, f):
         t = pa.Table.from_batches(parts)
-        return [f(t.filter(pa.array(t["bucket"].to_numpy() == g))) for g in set(t["bucket"].to_pylist())]
+        return pa.concat_tables([f(t.filter(pa.array(t["bucket"].to_numpy() == g))) for g in sorted(set(t["bucket"].to_pylist()))])
 
-    def gathered(tables, kind):
-        out = {}
-        for t in tables:
-            for k, i, d in zip(t["kind"].to_pylist(), t["id"].to_pylist(), t["data"].to_pylist(), strict=True):
-                if k == kind:
-                    out.setdefault(i, []).append(d)
-        return out
-
-    def with_marks(m):
-        return [b.append_column("marks", pa.array([m.get(b["id"][0].as_py())], pa.list_(pa.binary()))) for b in batches]
+    def with_marks(t, kind):
+        m = {}
+        for r in t.to_pylist():
+            if r["kind"] == kind:
+                m.setdefault(r["id"], []).append(r["v"])
+        return [b.append_column("marks", pa.array([m.get(b["id"][0].as_py())], pa.list_(pa.int64()))) for b in batches]
 
     first = grouped([x for b in batches for x in sd._local(iter([b]), size, 5, groups)], sd._repeated)
-    parts = [x for b in with_marks(gathered(first, 0)) for x in sd._suffixes(iter([b]), size, 5, groups)]
-    marks = gathered(grouped(parts, lambda t: sd._subtrees(t, size, 5)), 1)
+    parts = [x for b in with_marks(first, 0) for x in sd._suffixes(iter([b]), size, 5, groups)]
     got = {}
-    for b in with_marks(marks):
+    for b in with_marks(grouped(parts, lambda t: sd._subtrees(t, size, 5)), 1):
         r = next(sd._digest(iter([b]), size)).to_pylist()[0]
         got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_sha256"])
     assert got == brute(rows, size)
@@ -90,3 +85,6 @@ def test_spans_and_texts(spark):
     assert sorted(map(tuple, sd.repeat_spans(df, 13).collect())) == [(2, 0, 20), (3, 1, 20), (3, 22, 20)]
     assert {r["id"]: r["text"] for r in sd.kept_texts(df, 13).collect()} == {1: rows[0][1], 2: "e", 3: "x y", 4: "left\n alone"}
     assert sd.substring_dedup(df.limit(0), 13).count() == 0
+    whole = sd.without_repeats(df.selectExpr("doc_id", "text", "length(text) AS n_chars", "null AS marks", "7 AS id"), 13)
+    assert whole.columns == ["doc_id", "text", "n_chars", "marks", "id"]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in whole.collect()} == {1: (rows[0][1], len(rows[0][1])), 2: ("e", 1), 3: ("x y", 3), 4: ("left\n alone", 11)}
