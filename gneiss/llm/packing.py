@@ -28,7 +28,7 @@ from gneiss.llm.text import span_hashes, split
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct words that a worker remembers; then it starts anew.
-MEMO = 1_500_000
+MEMO = 500_000
 
 _memo: dict = {}
 
