@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import exact_dedup, flac, packing, substring_dedup
+from gneiss.llm import exact_dedup, flac, jaccard_join, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), size=13)
 
 
-QUERIES = {f.__name__: f for f in (op1_flac, op2_substring_dedup, op8_exact_dedup, op9_best_fit_packing)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_flac, op2_substring_dedup, op8_exact_dedup, op9_best_fit_packing, op10_jaccard_join)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
