@@ -273,7 +273,7 @@ def _verify(group: pa.Table, percent: int) -> pa.Table:
 def _run_cells(docs: DataFrame, sent: DataFrame, k: int, percent: int) -> DataFrame:
     """sent (id, cell, role) -> what the cells found, saved."""
     to = sent.groupBy(F.col("id").alias("key")).agg(F.collect_list("cell").alias("cells"), F.collect_list("role").alias("roles"))
-    shipped = docs.join(to, F.col("id") == F.col("key")).select("id", "text", "cells", "roles").mapInArrow(partial(_ship, k=k), SHIPPED)
+    shipped = docs.join(to.hint("merge"), F.col("id") == F.col("key")).select("id", "text", "cells", "roles").mapInArrow(partial(_ship, k=k), SHIPPED)
     return save(shipped.groupBy("cell").applyInArrow(lambda t: _verify(t, percent), "kind int, u long, v long"), "links")
 
 
@@ -283,6 +283,8 @@ def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, cell
     members = part.select(F.col("v").alias("id"), "label").unionByName(part.select(F.col("label").alias("id"), "label").distinct())
     sizes = part.groupBy("label").agg(F.ceil((F.count(F.lit(1)) + 1) / cell_size).cast("int").alias("cells"))
     members = save(members.join(sizes, "label").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")), "members")
+    # texts move once; later joins read only those of candidates. The hint keeps the plan the same at every size
+    docs = save(docs.join(members.select(F.col("id").alias("key")).hint("merge"), F.col("id") == F.col("key"), "left_semi"), "candidates")
     name = lambda label, cell: F.xxhash64(label, cell)
     leads = members.filter("id = label").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     own = members.filter("id <> label").select("id", name("label", "cell").alias("cell"), F.lit(MEMBER).alias("role"))
