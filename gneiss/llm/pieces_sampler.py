@@ -47,19 +47,20 @@ class Lattices:
                     found[raw] = i
                     self.text[i] = raw
         self.longest = max(map(len, found))
-        known = sorted(found)
-        buf = np.frombuffer(b"".join(known), np.uint8)
+        # one table of all pieces and their beginnings: piece id or -1, weight, and whether a longer piece begins so
+        inner = {k[:j] for k in found for j in range(1, len(k))}
+        known = sorted(inner | set(found))
         n = np.array([len(k) for k in known])
-        ids = np.array([found[k] for k in known])
-        rank = np.array([-sp.get_score(int(i)) for i in ids])
-        h = self._roll(buf, np.cumsum(n) - n, n)
+        h = self._roll(np.frombuffer(b"".join(known), np.uint8), np.cumsum(n) - n, n)
+        ids = np.array([found.get(k, -1) for k in known])
+        rank = np.array([-sp.get_score(int(i)) if i >= 0 else 0 for i in ids])
         order = np.argsort(h)
         self.hash, self.id, self.logp = h[order], ids[order], (-alpha * np.log(2 + np.maximum(rank, 0)))[order]
+        self.more = np.array([k in inner for k in known])[order]
         self.byte_logp = -alpha * np.log(BYTE_RANK)
-        pre = {k[:j] for k in known for j in range(1, len(k))}
-        pre = sorted(pre)
-        n = np.array([len(k) for k in pre])
-        self.prefix = np.sort(self._roll(np.frombuffer(b"".join(pre), np.uint8), np.cumsum(n) - n, n))
+        self.size = np.array([len(x) for x in self.text])
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self._clear()
 
     @staticmethod
@@ -93,12 +94,13 @@ class Lattices:
             at, acc = at[live], acc[live]
             acc = mix(acc * M3 + buf[at + size - 1].astype(np.uint64) + np.uint64(1))
             hit, p = self._in(self.hash, acc)
+            more = hit & self.more[p]
+            hit &= self.id[p] >= 0
             begin.append(at[hit])
             length.append(np.full(int(hit.sum()), size))
             ids.append(self.id[p[hit]])
             logp.append(self.logp[p[hit]])
             single[at[hit & (wide[at] == size)]] = True
-            more = self._in(self.prefix, acc)[0]
             at, acc = at[more], acc[more]
             if not len(at):
                 break
@@ -172,14 +174,15 @@ class Lattices:
         end = self.end[np.searchsorted(self.known, h)][back]
         stop = end - n  # each unit's node 0
         key = mix(mix(seeds.astype(np.uint64) ^ M1)[doc] + (np.arange(len(doc)) - first[doc]).astype(np.uint64) * M3)
-        lane, node, got, step = np.arange(len(doc)), end.copy(), [], 0
+        lane = np.argsort(end, kind="stable")  # near nodes together: look-ups stay in the cache
+        node, got, step = end[lane], [], np.uint64(0)
         while len(lane):
-            r = (mix(key[lane] + np.uint64(step) * M2) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            r = (mix(key[lane] + np.array([step]) * M2) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             e = np.searchsorted(self.cdf, node + r, "right")
             got.append((lane, self.piece[e]))
             node = self.src[e].astype(np.int64)
             more = node > stop[lane]
-            lane, node, step = lane[more], node[more], step + 1
+            lane, node, step = lane[more], node[more], step + np.uint64(1)
         count = np.zeros(len(doc), np.int64)
         for k, (lane, _) in enumerate(got):
             count[lane] = k + 1
@@ -189,9 +192,15 @@ class Lattices:
             out[ends[lane] - 1 - k] = ids
         return out, np.concatenate([[0], ends])[first]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text's bytes from its piece ids."""
-        return b"".join([self.text[i] for i in ids.tolist()])[1:]
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' bytes from their piece ids, and offsets; each text loses its leading space."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.bytes[np.repeat(self.begin[ids] - (ends - n), n) + np.arange(total)]
+        off = np.concatenate([[0], ends])[at]
+        some = np.diff(at) > 0
+        return np.delete(out, off[:-1][some]), off - np.concatenate([[0], np.cumsum(some)])
 
 
 def lattices(path: str, alpha: float) -> Lattices:
@@ -213,10 +222,15 @@ def _sampled(df: DataFrame, path: str, alpha: float, seed: int, id_col: str, tex
             if not digest:
                 yield pa.record_batch([column(b, "id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "pieces"])
                 continue
-            raw, old, sha, same = ids.astype("<i4"), buf.tobytes(), [], []
-            for x, y, p, q in zip(at[:-1].tolist(), at[1:].tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-                sha.append(hashlib.sha256(raw[x:y].tobytes()).hexdigest())
-                same.append(t.decode(ids[x:y]) == old[p:q])
+            raw = ids.astype("<i4")
+            sha = [hashlib.sha256(raw[x:y].tobytes()).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            text, begin = t.decode_all(ids, at)
+            same = np.diff(begin) == np.diff(off)
+            if same.all():  # else texts are compared one by one
+                wrong = np.concatenate([[0], np.cumsum(text != buf)])
+                same = wrong[off[1:]] == wrong[off[:-1]]
+            else:
+                same = np.array([text[p:q].tobytes() == buf[x:y].tobytes() for p, q, x, y in zip(begin[:-1], begin[1:], off[:-1], off[1:], strict=True)])
             yield pa.record_batch([column(b, "id"), pa.array(np.diff(off), pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sha, pa.string()), pa.array(same)], names=[f.split()[0] for f in schema.split(", ")])
 
     return two_columns(df, id_col, text_col).mapInArrow(run, schema)
@@ -239,7 +253,7 @@ def decode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", pieces_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = lattices(path, 1.0)
         for b in batches:
-            text = [t.decode(np.array(x, np.int64)).decode() if x is not None else None for x in column(b, pieces_col).to_pylist()]
+            text = [t.decode_all(np.array(x, np.int64), np.array([0, len(x)]))[0].tobytes().decode() if x is not None else None for x in column(b, pieces_col).to_pylist()]
             yield pa.record_batch([column(b, id_col), pa.array(text, pa.string())], names=["doc_id", "text"])
 
     return df.select(id_col, pieces_col).mapInArrow(run, "doc_id long, text string")
