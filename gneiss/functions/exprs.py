@@ -23,7 +23,8 @@ def wrap(c: Column, bits: int) -> Column:
     half = 1 << (bits - 1)
     if bits == 64:
         d = c.cast("decimal(38,0)")
-        return (F.pmod(d + F.lit(half).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")) - F.lit(half).cast("decimal(38,0)")).cast("bigint")
+        big = lambda v: F.lit(str(v)).cast("decimal(38,0)")
+        return (F.pmod(d + big(half), big(1 << 64)) - big(half)).cast("bigint")
     return ((c.cast("bigint") + half).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) - half).cast(_TYPES[bits])
 
 
