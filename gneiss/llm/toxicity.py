@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import column, crc32_mod, flat, pieces, ship
 from gneiss.llm.text import LETTERS, Words, span_hashes, split
 
-SAMPLE, TOKEN_ODDS, SEGMENT = 2000, 2.5, 64
+SAMPLE, TOKEN_ODDS, SEGMENT = 1200, 2.5, 64
 #: Upper edges of the log-odds bins; a word of no evidence is in the bin of 0.
 EDGES = np.array([-3.0, -1.5, -0.5, 0.5, 1.5, 2.5, 3.5, 4.5])
 NEUTRAL = int(np.searchsorted(EDGES, 0.0))
