@@ -7,12 +7,15 @@ which at similarity t is at most (1-t)/(1+t) of the sizes' sum. By pigeonhole, w
 sets of a size band (and the band below) join on (block, XOR). Some spare blocks let a set leave out its empty ones.
 
 1. Sets that are identical are one class, whose least document stands for it.
-2. Packed keys meet in groups; each key links its documents to the least one. That gives candidate components.
-3. A candidate component's sets go to one cell, or to several where it is large, each with the component's leader. A cell
-   links what is similar to the leader, and compares every other set with all sets of the cell through a prefix-filtered
-   index of rare shingles; every link is verified on the whole sets. Sets that no leader took visit the other cells of
-   their component, so no link is lost and no group's pairs are all listed.
-4. Verified links give components.
+2. Packed keys meet in groups; each key links its documents to the least one. What a document leads so is its star, and
+   two similar sets meet in the star of a key that they share.
+3. Stars compare folded sketches, about one bit a shingle: what is further apart than the bound is no link, and of the rest
+   a spanning forest is enough. Its components contain those of the true links.
+4. A component's sets go to one cell, or to several where it is large, each with the component's leader. A cell links what
+   is similar to the leader, and compares every other set with all sets of the cell through a prefix-filtered index of rare
+   shingles; every link is verified on the whole sets. Sets that no leader took visit the other cells of their component,
+   so no link is lost and no group's pairs are all listed. Large stars are split the same way.
+5. Verified links give components.
 
 Words are lower-cased (A-Z) runs of bytes other than white space. Fewer words than a shingle: the whole sequence is the
 set's one member. Null texts and texts without words have empty sets and link with nothing. Shingles are compared by
@@ -34,8 +37,8 @@ from gneiss.llm.graph import connected_components
 from gneiss.llm.substring_dedup import _KEY48, _bucket, lists, pack, unpack
 from gneiss.llm.text import LOWER, M1, M3, mix, span_hashes, split, window_hashes
 
-#: MB of input per group of keys; sets in a cell.
-GROUP_MB, CELL = 4, 1024
+#: MB of input per group of keys; sets in a cell; folded sketches in a cell.
+GROUP_MB, CELL, SKETCH_CELL = 4, 1024, 4096
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +115,24 @@ def sketch_keys(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(sets), np.concatenate(keys)
 
 
+def folded_sketches(value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each set's parities of its hashes' last bits; as many bits as the power of two from its size on, at least 64.
+
+    The lower half XOR the upper half is the sketch of half the width, so that neighbouring widths can be compared.
+    """
+    n = np.diff(first)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(n)), n)
+    at = begin[owner] + (mix(value) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[begin[d] // 8 : begin[d + 1] // 8] for d in range(len(n))]
+
+
 def _digest_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         value, first = shingle_sets(*flat(column(b, "text")), k)
-        yield pa.record_batch({"id": column(b, "id"), "n": pa.array(np.diff(first), pa.int64()), "set": pa.array(set_digests(value, first).view(np.int64))})
+        yield pa.record_batch({"id": column(b, "id"), "n": pa.array(np.diff(first), pa.int64()), "set": pa.array(set_digests(value, first).view(np.int64)), "sketch": pa.array(folded_sketches(value, first), pa.binary())})
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, groups: int) -> Iterator[pa.RecordBatch]:
@@ -184,6 +201,121 @@ def candidate_pairs(docs: DataFrame, k: int, percent: int, groups: int) -> DataF
     return packed.groupBy("bucket").applyInArrow(lambda t: _distinct_pairs(t), "u long, v long")
 
 
+# ---------------------------------------------------------------- folded sketches
+
+MEMBER, LEADER, VISITOR = 0, 1, 2
+
+
+class Sketches:
+    """The folded sketches of a cell by width, each width sorted by set size, with a union-find over what is near."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int):
+        self.n, self.percent, self.root = n, percent, list(range(len(n)))
+        width = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.width, self.at, self.rows, self.folds = width, {}, {}, {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            at = at[np.argsort(n[at], kind="stable")]
+            rows = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), w)
+            self.at[w], self.rows[w] = at, rows
+        self.own = np.empty(len(n), np.int64)
+        for at in self.at.values():
+            self.own[at] = np.arange(len(at))
+
+    def find(self, i: int) -> int:
+        return _find(self.root, i)
+
+    def folded(self, w: int, to: int) -> np.ndarray:
+        """The sketches of w words folded to a number of words that is not larger."""
+        if w == to:
+            return self.rows[w]
+        if (w, to) not in self.folds:
+            self.folds[w, to] = np.bitwise_xor.reduce(self.rows[w].reshape(len(self.rows[w]), w // to, to), axis=1)
+        return self.folds[w, to]
+
+    def near(self, i: int) -> np.ndarray:
+        """Sets whose symmetric difference to set i may be small enough."""
+        n, w, out = int(self.n[i]), int(self.width[i]), []
+        low, high = -(-self.percent * n // 100), n * 100 // self.percent
+        for other, at in self.at.items():
+            a, b = np.searchsorted(self.n[at], [low, high + 1])
+            if a == b:
+                continue
+            to = min(w, other)
+            x, y = self.folded(w, to)[self.own[i]], self.folded(other, to)[a:b]
+            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            out.append(at[a:b][far * (100 + self.percent) <= (100 - self.percent) * (n + self.n[at[a:b]])])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def link(self, i: int) -> list[int]:
+        """Joins set i with what is near; those that were not yet in its tree."""
+        new = []
+        for j in self.near(i).tolist():
+            a, b = self.find(i), self.find(j)
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                new.append(j)
+        return new
+
+
+def _find(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
+
+
+def _near_in_cells(group: pa.Table, percent: int) -> pa.Table:
+    """kind 0: a forest (u, v) over what is near in each cell; kind 1: members (u) of star v that are not near its leader."""
+    star, cell, role, ids, n = (group[c].to_numpy() for c in ("star", "cell", "role", "id", "n"))
+    data = group["sketch"].to_pylist()
+    order = np.lexsort((ids, role != LEADER, cell, star))
+    star_o, cell_o = star[order], cell[order]
+    head = np.flatnonzero(np.concatenate([[True], (star_o[1:] != star_o[:-1]) | (cell_o[1:] != cell_o[:-1])]))
+    kind, us, vs = [], [], []
+    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(order)], strict=True):
+        at = order[lo:hi]
+        c, own = Sketches(n[at], [data[i] for i in at.tolist()], percent), ids[at]
+        if (role[at] == VISITOR).any():
+            probes, left = np.flatnonzero(role[at] == VISITOR), []
+        else:
+            taken = c.link(0)
+            us += [own[0]] * len(taken)
+            vs += own[taken].tolist()
+            probes = left = np.setdiff1d(np.arange(1, len(at)), taken)
+        for i in probes.tolist():
+            new = c.link(i)
+            us += [own[i]] * len(new)
+            vs += own[new].tolist()
+        kind += [0] * (len(us) - len(kind)) + [1] * len(left)
+        us += own[left].tolist()
+        vs += [star[at[0]]] * len(left)
+    return pa.table([pa.array(kind, pa.int32()), pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["kind", "u", "v"])
+
+
+def sketch_links(pairs: DataFrame, sets: DataFrame, percent: int, groups: int, cell_size: int = SKETCH_CELL) -> DataFrame:
+    """Stars (u, v) and sets (id, n, sketch) -> pairs (u, v) within the bound that connect all such pairs of a star."""
+    star = save(pairs.filter("u <> v").select("u", "v").distinct(), "stars")
+    sizes = star.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / cell_size).cast("int").alias("cells"))
+    cells = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    leads = sizes.select(F.col("u").alias("id"), F.col("u").alias("star"), cells.alias("cell"), F.lit(LEADER).alias("role"))
+    split = star.join(sizes.hint("merge"), "u").select(F.col("v").alias("id"), F.col("u").alias("star"), F.pmod(F.xxhash64("v"), F.col("cells")).cast("int").alias("cell"), F.lit(MEMBER).alias("role"), "cells")
+
+    def run(sent: DataFrame) -> DataFrame:
+        full = sent.join(sets.select("id", "n", "sketch").hint("merge"), "id").withColumn("bucket", F.pmod(F.xxhash64("star", "cell"), F.lit(groups)))
+        return save(full.groupBy("bucket").applyInArrow(lambda t: _near_in_cells(t, percent), "kind int, u long, v long"), "near")
+
+    first = run(split.drop("cells").unionByName(leads))
+    links = first.filter("kind = 0").select("u", "v")
+    wide = split.filter("cells > 1")
+    if wide.limit(1).count():
+        visits = first.filter("kind = 1").select(F.col("u").alias("id"), F.col("v").alias("star")).join(wide, ["id", "star"])
+        visits = visits.withColumn("to", cells).filter("`to` <> cell").select("id", "star", F.col("to").alias("cell"), F.lit(VISITOR).alias("role"))
+        hosts = wide.drop("cells").join(visits.select("star", "cell").distinct(), ["star", "cell"], "left_semi")
+        links = links.unionByName(run(hosts.select("id", "star", "cell", "role").unionByName(visits)).filter("kind = 0").select("u", "v"))
+    return links
+
+
 # ---------------------------------------------------------------- verification
 
 
@@ -199,7 +331,6 @@ def _ship(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 SHIPPED = "cell long, role int, id long, data binary"
-MEMBER, LEADER, VISITOR = 0, 1, 2
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -219,10 +350,7 @@ class Sets:
         self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
+        return _find(self.root, i)
 
     def test(self, i: int, j: int) -> bool:
         a, b = self.find(i), self.find(j)
@@ -304,13 +432,15 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links, itself included)."""
     ship(df.sparkSession)
     docs = two_columns(df, id_col, text_col)
-    sets = save(docs.mapInArrow(partial(_digest_rows, k=k), "id long, n long, set long"), "sets")
+    groups = buckets(df, GROUP_MB)
+    sets = save(docs.mapInArrow(partial(_digest_rows, k=k), "id long, n long, set long, sketch binary"), "sets")
     known = docs.filter("id is not null")
-    pairs = candidate_pairs(known, k, percent, buckets(df, GROUP_MB))
-    reps = sets.filter("n > 0 and id is not null").groupBy("n", "set").agg(F.min("id").alias("rep"))
-    of = save(sets.filter("n > 0 and id is not null").join(reps, ["n", "set"]).select("id", "rep").distinct(), "reps")
+    reps = save(sets.filter("n > 0 and id is not null").groupBy("n", "set").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    of = save(sets.filter("n > 0 and id is not null").join(reps.drop("sketch"), ["n", "set"]).select("id", "rep").distinct(), "reps")
+    pairs = candidate_pairs(known, k, percent, groups)
     pairs = pairs.join(of.select(F.col("id").alias("u"), F.col("rep").alias("ru")), "u").join(of.select(F.col("id").alias("v"), F.col("rep").alias("rv")), "v")
-    links = verified_links(known, pairs.select(F.col("ru").alias("u"), F.col("rv").alias("v")), k, percent)
+    near = sketch_links(pairs.select(F.col("ru").alias("u"), F.col("rv").alias("v")), reps.withColumnRenamed("rep", "id"), percent, groups)
+    links = verified_links(known, near, k, percent)
     label = connected_components(links)
     out = of.join(label, of["rep"] == label["v"], "left").select(F.col("id").alias("key"), F.coalesce("label", "rep").alias("component"))
     out = out.groupBy("key").agg(F.min("component").alias("component"))

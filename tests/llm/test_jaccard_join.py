@@ -1,9 +1,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gneiss.llm import jaccard_join as jj
+from gneiss.llm.common import flat
 from gneiss.llm.graph import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,12 +69,29 @@ def test_large_components_use_several_cells(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     want = brute(rows, 4, 85)
     pairs = jj.candidate_pairs(df, 4, 85, 3)
+    value, first = jj.shingle_sets(*flat(pa.array([t for _, t in rows])), 4)
+    sets = spark.createDataFrame(list(zip([i for i, _ in rows], np.diff(first).tolist(), jj.folded_sketches(value, first), strict=True)), "id long, n long, sketch binary")
+    pairs = jj.sketch_links(pairs, sets, 85, 3, cell_size=6)
     links = jj.verified_links(df, pairs, 4, 85, cell_size=7)
     label = {r["v"]: r["label"] for r in connected_components(links).collect()}
     assert {i: label.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
     assert len(set(label.values())) < len(rows)
 
 
+@pytest.mark.parametrize("percent", [30, 60, 80, 95])
+def test_folded_sketches_bound_the_difference(percent):
+    rng = np.random.default_rng(percent)
+    base = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(20, 900)], rng.integers(0, 1 << 63, rng.integers(0, 90)).astype(np.uint64)])) for _ in range(60)]
+    first = np.cumsum([0, *map(len, sets)])
+    c = jj.Sketches(np.diff(first), jj.folded_sketches(np.concatenate(sets), first), percent)
+    for i in range(60):
+        near = set(c.near(i).tolist())
+        assert near >= {j for j in range(60) if jj.similar(sets[i], sets[j], percent)}
+    far = jj.Sketches(np.array([200, 210]), jj.folded_sketches(rng.integers(0, 1 << 63, 410).astype(np.uint64), np.array([0, 200, 410])), 80)
+    assert far.near(0).tolist() == [0]
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (5, "a b c d e")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(df, 4, 85).collect() if r["doc_id"]) == [(1, 2, 1), (1, 2, 1), (5, 2, 1)]
