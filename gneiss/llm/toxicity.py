@@ -19,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import column, crc32_mod, flat, pieces, ship
 from gneiss.llm.text import LETTERS, Words, span_hashes, split
 
 SAMPLE, TOKEN_ODDS, SEGMENT = 1200, 2.5, 64
+#: Text bytes scored at a time: less than other operators take, for a token has about twenty numbers here.
+SCORED_BYTES = 3 << 20
 #: Upper edges of the log-odds bins; a word of no evidence is in the bin of 0.
 EDGES = np.array([-3.0, -1.5, -0.5, 0.5, 1.5, 2.5, 3.5, 4.5])
 NEUTRAL = int(np.searchsorted(EDGES, 0.0))
@@ -99,9 +101,11 @@ def fit_field(b: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 60)
         e = weights[0, prev] + weights[1, b] + weights[2, nxt]
         p, fwd, bwd = marginals(e, first, t)
         x = np.exp(np.clip(e[at], -30, 30))
-        pair = np.stack([np.exp(t[i, j]) * (fwd[at - 1] if i else np.ones(len(at))) * (x * bwd[at] if j else 1) for i in (0, 1) for j in (0, 1)])
-        pair /= pair.sum(axis=0)
-        want = np.concatenate([np.bincount(f, weights=p, minlength=k) for f in (prev, b, nxt)] + [pair.sum(axis=1)])
+        x *= bwd[at]
+        own = fwd[at - 1]
+        pair = [np.full(len(at), np.exp(t[0, 0])), np.exp(t[0, 1]) * x, np.exp(t[1, 0]) * own, np.exp(t[1, 1]) * own * x]
+        norm = 1 / sum(pair)
+        want = np.concatenate([np.bincount(f, weights=p, minlength=k) for f in (prev, b, nxt)] + [[v @ norm for v in pair]])
         g = (seen - want) / max(1, len(b)) * 100 - 1e-3 * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w = w + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -154,7 +158,8 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     count = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(count) < 2:
         return (count.get(1, 0) + 0.5) / (sum(count.values()) + 1)
-    top = lab.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))).filter(F.col("r") <= SAMPLE).select("id", "y")
+    least = [lab.filter(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (0, 1)]  # each partition sends SAMPLE rows at most
+    top = least[0].unionByName(least[1])
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(top), "id").collect()  # top: 2 * SAMPLE ids at most
     rows.sort(key=lambda r: (r["id"], r["text"]))
     y = np.array([r["y"] for r in rows], np.int64)
@@ -179,7 +184,7 @@ def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in pieces(batches):
+        for b in pieces(batches, limit=SCORED_BYTES):
             buf, off = flat(column(b, "text"))
             if isinstance(m, float):
                 s, count, spans = np.full(b.num_rows, m), np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
