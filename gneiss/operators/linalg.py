@@ -112,3 +112,24 @@ def solve_normal(df: DataFrame, features: list[str], target: str, ridge: float =
         raise NumericError("rank deficient")
     w = np.linalg.solve(g, np.array([row[f"_{i}_{k}"] for i in range(k)]))
     return np.concatenate([[means[target] - sum(a * means[f] for a, f in zip(w, features, strict=True))], w])
+
+
+def least_squares(df: DataFrame, columns: list[str], target: str) -> np.ndarray:
+    """The x of least |A x - b|, no intercept: each partition's rows shrink to the triangle of their QR factors, triangles shrink
+    again in groups, and the driver solves the last one (k + 1 rows a group)."""
+    k = len(columns) + 1
+    names = [f"c{i}" for i in range(k)]
+    schema = ", ".join(f"{n} double" for n in names)
+
+    def run(frames):
+        r = np.zeros((0, k))
+        for f in frames:
+            m = np.vstack([r, f.to_numpy(np.float64)])
+            r = np.linalg.qr(_finite(m), mode="r")
+        yield pd.DataFrame(r, columns=names)
+
+    d = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip([*columns, target], names, strict=True)]).mapInPandas(run, schema)
+    r = np.linalg.qr(d.repartition(16).mapInPandas(run, schema).toPandas().to_numpy(np.float64), mode="r")
+    if len(r) < k - 1 or np.linalg.matrix_rank(r[: k - 1, : k - 1]) < k - 1:
+        raise NumericError("rank deficient")
+    return np.linalg.solve(r[: k - 1, : k - 1], r[: k - 1, k - 1])

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.errors import ModelError
 from gneiss.functions.exprs import INF
 from gneiss.operators.linalg import solve_normal, squared_distance
+from gneiss.operators.ordering import shuffled_rank
+
+#: Rows that a sequential learner takes.
+SERIAL_ROWS = 2_000_000
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,8 +71,7 @@ def gini_split(df: DataFrame, value: str, label: str, threshold: float) -> DataF
 
 def linear_regression(df: DataFrame, features: list[str], target: str, ridge: float = 0.0) -> DataFrame:
     """One row per coefficient; the intercept's term is (intercept)."""
-    w = solve_normal(df, features, target, ridge)
-    return df.sparkSession.createDataFrame([(n, float(x)) for n, x in zip(["(intercept)", *features], w, strict=True)], "term string, coefficient double")
+    return _terms(df, features, solve_normal(df, features, target, ridge))
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -118,3 +124,114 @@ def fold(df: DataFrame, key: str, folds: int, seed: int = 0, strata: list[str] |
     if not strata:
         return df.withColumn("fold", F.pmod(h, F.lit(folds)).cast("int"))
     return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(*strata).orderBy(h, key)) - 1) % folds).cast("int"))
+
+
+def knn_neighbors(train: DataFrame, queries: DataFrame, key: str, vector: str, target: str, k: int, weighting: str) -> DataFrame:
+    """(q, d, y, w): the neighbours' targets and weights. By distance: 1/d, but where a neighbour's distance is 0 only such ones count."""
+    if weighting not in ("uniform", "distance"):
+        raise ModelError(f"weighting: {weighting}")
+    near = knn_search(train, queries, key, vector, k).join(train.select(F.col(key).alias("idx"), F.col(target).alias("y")), "idx")
+    if weighting == "uniform":
+        return near.select("q", "d", "y", F.lit(1.0).alias("w"))
+    exact = F.min("d").over(Window.partitionBy("q")) == 0  # k rows a query
+    w = F.when(exact, (F.col("d") == 0).cast("double")).otherwise(1 / F.sqrt(F.when(F.col("d") > 0, F.col("d"))))
+    return near.select("q", "d", "y", w.alias("w")).filter("w > 0")
+
+
+def knn_classify(train: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int, weighting: str = "uniform") -> DataFrame:
+    """(q, predicted): the heaviest label; ties go to the smaller total squared distance, then to the lower label."""
+    votes = knn_neighbors(train, queries, key, vector, label, k, weighting).groupBy("q", "y").agg(F.sum("w").alias("w"), F.sum("d").alias("d"))
+    return votes.groupBy("q").agg(F.min(F.struct(-F.col("w"), F.col("d"), F.col("y")))["y"].alias("predicted"))
+
+
+def knn_regress(train: DataFrame, queries: DataFrame, key: str, vector: str, target: str, k: int, weighting: str = "uniform") -> DataFrame:
+    """(q, predicted): the neighbours' weighted mean."""
+    near = knn_neighbors(train, queries, key, vector, target, k, weighting)
+    return near.groupBy("q").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("predicted"))
+
+
+def sigmoid(z):
+    """Without overflow at either end."""
+    e = F.exp(-F.abs(z))
+    return F.when(z >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
+
+
+def _linear(features: list[str], w) -> object:
+    return reduce(lambda a, b: a + b, [F.lit(float(w[0]))] + [F.lit(float(x)) * F.col(f) for x, f in zip(w[1:], features, strict=True)])
+
+
+def logistic_regression(df: DataFrame, features: list[str], label: str, rate: float = 0.1, iterations: int = 1000, tolerance: float = 1e-6, l2: float = 0.0, weight: str | None = None) -> tuple[DataFrame, int, bool]:
+    """((term, coefficient), steps taken, whether the last moved by no more than tolerance): full-batch gradient descent from 0.
+
+    A step is one aggregate over the rows, so cache df. The intercept is not penalized. Labels are 0 and 1.
+    """
+    k = F.col(weight) if weight else F.lit(1.0)
+    total, bad = df.agg(F.sum(k), F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1))).first()
+    if not total or bad:
+        raise ModelError("labels have to be 0 or 1, of rows with weight")
+    w, steps, done = np.zeros(len(features) + 1), 0, False
+    while steps < iterations and not done:
+        e = k * (sigmoid(_linear(features, w)) - F.col(label))
+        g = np.array(list(df.agg(F.sum(e).alias("g0"), *[F.sum(e * F.col(f)).alias(f"g{i + 1}") for i, f in enumerate(features)]).first()), np.float64)
+        move = rate * (g / total + l2 * np.concatenate([[0.0], w[1:]]))
+        w, steps, done = w - move, steps + 1, bool(np.abs(move).max() <= tolerance)
+    return _terms(df, features, w), steps, done
+
+
+def predict_binary(df: DataFrame, key: str, features: list[str], model: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(key, probability, predicted) of a logistic model."""
+    c = {r["term"]: r["coefficient"] for r in model.collect()}  # a row per feature
+    p = sigmoid(_linear(features, [c["(intercept)"], *[c[f] for f in features]]))
+    return df.select(key, p.alias("probability")).withColumn("predicted", (F.col("probability") >= threshold).cast("int"))
+
+
+def _terms(df: DataFrame, features: list[str], w) -> DataFrame:
+    return df.sparkSession.createDataFrame([(n, float(x)) for n, x in zip(["(intercept)", *features], w, strict=True)], "term string, coefficient double")
+
+
+def perceptron(df: DataFrame, order: str, features: list[str], label: str, rate: float = 0.1, iterations: int = 1000) -> DataFrame:
+    """(term, coefficient, iterations, converged): online updates in the rows' order until a pass has no error.
+
+    Each update needs the one before, so one task reads all rows; more than SERIAL_ROWS are refused.
+    """
+    if (n := df.limit(SERIAL_ROWS + 1).count()) > SERIAL_ROWS or not n:
+        raise ModelError(f"a sequential learner takes 1 to {SERIAL_ROWS} rows")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(np.float64)])
+        y = pdf[label].to_numpy(np.int64)
+        w, clean, done = np.zeros(x.shape[1]), False, 0
+        while done < iterations and not clean:
+            at, clean, done = 0, True, done + 1
+            while at < len(x):  # everything up to the next error is predicted at once
+                wrong = np.flatnonzero((x[at : at + 256] @ w >= 0) != (y[at : at + 256] == 1))
+                if not len(wrong):
+                    at += 256
+                    continue
+                at += int(wrong[0])
+                w = w + rate * (2 * y[at] - 1) * x[at]
+                at, clean = at + 1, False
+        return pd.DataFrame({"term": ["(intercept)", *features], "coefficient": w, "iterations": done, "converged": clean})
+
+    return df.select(order, *features, label, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "term string, coefficient double, iterations bigint, converged boolean")
+
+
+def k_fold(df: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:
+    """A fold per row; of n rows the first n % folds folds have one more."""
+    n = df.count()
+    if not 2 <= folds <= n:
+        raise ModelError(f"{folds} folds of {n} rows")
+    size, more = divmod(n, folds)
+    p = F.col("_p")
+    at = F.when(p < more * (size + 1), F.floor(p / (size + 1))).otherwise(more + F.floor((p - more * (size + 1)) / size))
+    return shuffled_rank(df, key, seed, "_p").withColumn("fold", at.cast("int")).drop("_p")
+
+
+def train_test_split(df: DataFrame, key: str, ratio: float = 0.25, seed: int = 0) -> DataFrame:
+    """The input with is_test: round(n * ratio) rows, at least one on either side."""
+    n = df.count()
+    test = int(n * ratio + 0.5)
+    if not 0 < test < n:
+        raise ModelError(f"{test} test rows of {n}")
+    return shuffled_rank(df, key, seed, "_p").withColumn("is_test", F.col("_p") < test).drop("_p")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.errors import NumericError
 from gneiss.functions.exprs import INF
 
 BLOCK = 1 << 16
@@ -63,3 +64,23 @@ def put(df: DataFrame, index: str, value: str, writes: DataFrame) -> DataFrame:
     """writes (at, pos, new): the last write of a place wins."""
     last = writes.groupBy("at").agg(F.max_by("new", "pos").alias("_new"))
     return df.join(last, F.col(index) == F.col("at"), "left").withColumn(value, F.coalesce("_new", value)).drop("at", "_new")
+
+
+def shuffled_rank(df: DataFrame, key: str, seed: int, out: str) -> DataFrame:
+    """A seeded permutation: each row's position from 0 in the order of a hash of its unique key.
+
+    Ranks come inside 4096 ranges of the hash and from the ranges' totals, so no task holds all rows.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    d = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 52))
+    total = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = total.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
+    return d.withColumn("_r", inner).join(F.broadcast(before), "_b").withColumn(out, F.col("_s") + F.col("_r")).drop("_b", "_h", "_r", "_s")  # 4096 rows at most
+
+
+def choice(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement; more than there are is an error."""
+    if n > (have := df.count()):
+        raise NumericError(f"{n} of {have} rows")
+    return shuffled_rank(df, key, seed, "_p").filter(F.col("_p") < n).drop("_p")

@@ -51,3 +51,27 @@ def covariance_matrix(df: DataFrame, columns: list[str], ddof: int = 0, correlat
     row = df.agg(*[entry(a, b).alias(f"_{k}") for k, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"_{k}").alias("v")) for k, (a, b) in enumerate(pairs) for x, y in {(a, b), (b, a)}]
     return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+
+
+def covariance(df: DataFrame, x: str, y: str, keys: list[str], ddof: int = 0) -> DataFrame:
+    """(keys, cov) of each lane; null where it has no more rows than ddof."""
+    n = F.count(F.lit(1))
+    return df.groupBy(*keys).agg(F.when(n > ddof, F.covar_pop(x, y) * n / F.when(n > ddof, n - ddof)).alias("cov"))
+
+
+def weighted_covariance(df: DataFrame, x: str, y: str, w: str, keys: list[str]) -> DataFrame:
+    """(keys, wcov, wcorr): about weighted means; wcorr is null where a side does not vary."""
+    mean = lambda c: (F.sum(F.col(w) * F.col(c)) / F.sum(w))
+    m = df.groupBy(*keys).agg(mean(x).alias("_mx"), mean(y).alias("_my"))
+    d = df.join(m, keys) if keys else df.crossJoin(F.broadcast(m))  # one row when there are no keys
+    a, b, k = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"), F.col(w)
+    s = d.groupBy(*keys).agg((F.sum(k * a * b) / F.sum(k)).alias("wcov"), (F.sum(k * a * a) / F.sum(k)).alias("_x"), (F.sum(k * b * b) / F.sum(k)).alias("_y"))
+    return s.select(*keys, "wcov", (F.col("wcov") / F.sqrt(F.when(F.col("_x") * F.col("_y") > 0, F.col("_x") * F.col("_y")))).alias("wcorr"))
+
+
+def nan_extremes(df: DataFrame, x: str) -> DataFrame:
+    """(nanmin, nanmax) past NaNs; no rows or nothing but NaNs is an error."""
+    v = F.when(~F.isnan(x), F.col(x))
+    why = F.when(F.count(F.lit(1)) == 0, F.lit("no rows")).otherwise(F.lit("all NaN"))
+    known = lambda c: F.when(F.count(v) == 0, F.raise_error(why)).otherwise(c)
+    return df.agg(known(F.min(v)).alias("nanmin"), known(F.max(v)).alias("nanmax"))

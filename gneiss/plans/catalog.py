@@ -348,6 +348,76 @@ def stratified_folds(spark, sf):
     return ml.fold(t(spark, sf, "customer"), "c_custkey", 5, strata=["c_mktsegment"]).select("c_custkey", "c_mktsegment", "fold")
 
 
+KNN = f"SELECT q, idx, d, rank, y FROM (SELECT a.vec_id AS q, b.vec_id AS idx, b.label AS y, {DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 7"
+
+
+@query(f"WITH n AS ({KNN}), v AS (SELECT q, y, count(*) AS w, sum(d) AS d FROM n GROUP BY 1,2), o AS (SELECT q, y, row_number() OVER (PARTITION BY q ORDER BY w DESC, d, y) AS p FROM v) SELECT q, y AS predicted FROM o WHERE p = 1")
+def knn_classify(spark, sf):
+    e = t(spark, sf, "embeddings")
+    return ml.knn_classify(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", "label", 7)
+
+
+@query(f"WITH n AS ({KNN}), x AS (SELECT q, y, CASE WHEN min(d) OVER (PARTITION BY q) = 0 THEN (CASE WHEN d = 0 THEN 1.0 ELSE 0 END) ELSE 1/sqrt(d) END AS w FROM n) SELECT q, round(sum(w*y)/sum(w),6) AS predicted FROM x GROUP BY 1")
+def knn_regress(spark, sf):
+    e = t(spark, sf, "embeddings")
+    return ml.knn_regress(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", "label", 7, "distance").select("q", r(F.col("predicted")).alias("predicted"))
+
+
+@query()
+def logistic(spark, sf):
+    d = events(spark, sf).select((F.col("v") / 100).alias("s"), (F.col("v") > 50).cast("int").alias("y")).cache()
+    return ml.logistic_regression(d, ["s"], "y", rate=0.5, iterations=30)[0].select("term", r(F.col("coefficient")).alias("coefficient"))
+
+
+@query()
+def perceptron(spark, sf):
+    d = t(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("s"), (F.col("c_acctbal") > 4000).cast("int").alias("y"))
+    return ml.perceptron(d, "c_custkey", ["s"], "y", iterations=50)
+
+
+@query("SELECT 'l_quantity' AS term, round(sum(l_quantity*l_extendedprice)/sum(l_quantity*l_quantity),3) AS coefficient FROM lineitem")
+def least_squares(spark, sf):
+    x = linalg.least_squares(t(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return spark.createDataFrame([("l_quantity", round(float(x[0]), 3))], "term string, coefficient double")
+
+
+@query("SELECT l_returnflag, round(covar_samp(l_quantity,l_extendedprice),4) AS cov FROM lineitem GROUP BY 1")
+def covariance_lanes(spark, sf):
+    return stats.covariance(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"], 1).select("l_returnflag", r(F.col("cov"), 4).alias("cov"))
+
+
+@query("""WITH b AS (SELECT l_returnflag, l_quantity AS w, l_extendedprice AS x, l_discount AS y, sum(l_quantity*l_extendedprice) OVER p/sum(l_quantity) OVER p AS mx, sum(l_quantity*l_discount) OVER p/sum(l_quantity) OVER p AS my FROM lineitem WINDOW p AS (PARTITION BY l_returnflag))
+SELECT l_returnflag, round(sum(w*(x-mx)*(y-my))/sum(w),4) AS wcov, round(sum(w*(x-mx)*(y-my))/sqrt(sum(w*(x-mx)*(x-mx))*sum(w*(y-my)*(y-my))),6) AS wcorr FROM b GROUP BY 1""")
+def weighted_cov(spark, sf):
+    d = stats.weighted_covariance(t(spark, sf, "lineitem"), "l_extendedprice", "l_discount", "l_quantity", ["l_returnflag"])
+    return d.select("l_returnflag", r(F.col("wcov"), 4).alias("wcov"), r(F.col("wcorr")).alias("wcorr"))
+
+
+@query("SELECT min(value) AS nanmin, max(value) AS nanmax FROM events WHERE event_id % 97 <> 0")
+def nan_extremes(spark, sf):
+    return stats.nan_extremes(events(spark, sf), "x")
+
+
+@query()
+def permutation(spark, sf):
+    return ordering.shuffled_rank(events(spark, sf).select("event_id"), "event_id", 7, "position")
+
+
+@query()
+def choice(spark, sf):
+    return ordering.choice(events(spark, sf).select("event_id"), "event_id", 100, 7)
+
+
+@query()
+def k_folds(spark, sf):
+    return ml.k_fold(t(spark, sf, "customer").select("c_custkey"), "c_custkey", 7, 3)
+
+
+@query()
+def train_test(spark, sf):
+    return ml.train_test_split(t(spark, sf, "customer").select("c_custkey"), "c_custkey", 0.25, 3)
+
+
 def batch_of_matrices(spark, sf):
     """A diagonally dominant symmetric 4 x 4 matrix per part (i, j from the part's attributes)."""
     p = t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice").crossJoin(arrays.grid(spark, (4, 4)))  # 16 cells for each
