@@ -39,6 +39,8 @@ from gneiss.llm.text import LOWER, M1, M3, mix, span_hashes, split, window_hashe
 
 #: MB of input per group of keys; sets in a cell; folded sketches in a cell.
 GROUP_MB, CELL, SKETCH_CELL = 4, 1024, 4096
+#: Text bytes that become shingles at a time: less than other operators take, for a shingle has about twenty numbers here.
+SHINGLED_BYTES = 3 << 20
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +132,13 @@ def folded_sketches(value: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
+    for b in pieces(batches, limit=SHINGLED_BYTES):
         value, first = shingle_sets(*flat(column(b, "text")), k)
         yield pa.record_batch({"id": column(b, "id"), "n": pa.array(np.diff(first), pa.int64()), "set": pa.array(set_digests(value, first).view(np.int64)), "sketch": pa.array(folded_sketches(value, first), pa.binary())})
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, groups: int) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
+    for b in pieces(batches, limit=SHINGLED_BYTES):
         ids = longs(b, "id")
         value, first = shingle_sets(*flat(column(b, "text")), k)
         digest = set_digests(value, first)
@@ -321,7 +323,7 @@ def sketch_links(pairs: DataFrame, sets: DataFrame, percent: int, groups: int, c
 
 def _ship(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row per cell that a document is sent to: its role there and its set."""
-    for b in pieces(batches):
+    for b in pieces(batches, limit=SHINGLED_BYTES):
         value, first = shingle_sets(*flat(column(b, "text")), k)
         doc, cell = lists(column(b, "cells"))
         _, role = lists(column(b, "roles"))
