@@ -209,6 +209,55 @@ ORACLE["trace"] = f"SELECT round(sum(v),6) AS trace FROM {M} WHERE i0=i1"
 QUERIES["trace"] = lambda spark, sf: linalg.trace(matrix(spark, sf)).select(r(F.col("trace")).alias("trace"))
 
 
+def table_matrix(spark, sf):
+    """All events as a matrix of 40 columns, and its shape; 0.0 fills a last short row."""
+    e = t(spark, sf, "events").select("event_id", F.col("value").alias("v"))
+    n = length(e)
+    shape = (-(-n // 40), 40)
+    e = e.unionByName(spark.range(n, shape[0] * 40).select(F.col("id").alias("event_id"), F.lit(0.0).alias("v")))
+    return e.select(F.floor(F.col("event_id") / 40).alias("i0"), (F.col("event_id") % 40).alias("i1"), "v"), shape
+
+
+def length(e: DataFrame) -> int:
+    last = e.agg(F.max("event_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
+W = "(SELECT e // 40 AS i0, e % 40 AS i1, e, v FROM (SELECT event_id AS e, value AS v FROM events UNION ALL SELECT m + k, 0.0 FROM (SELECT max(event_id) AS m FROM events), range(1, 40) x(k) WHERE (m + k) // 40 = m // 40))"
+ROWS = "(SELECT max(event_id) // 40 + 1 FROM events)"
+#: The operators above over the whole table; names end in _all.
+WHOLE = {
+    "reshape": (lambda m, s: layout.reshape(m, s, (40, -1)), f"SELECT e//{ROWS} AS i0, e%{ROWS} AS i1, v FROM {W}"),
+    "transpose": (lambda m, s: layout.transpose(m, 2), f"SELECT i1 AS i0, i0 AS i1, v FROM {W}"),
+    "ravel": (lambda m, s: layout.ravel(m, s), f"SELECT e AS i0, v FROM {W}"),
+    "expand_squeeze": (lambda m, s: layout.squeeze(layout.expand_dims(m, 2, 1), (s[0], 1, 40)), f"SELECT i0, i1, v FROM {W}"),
+    "slice_step": (lambda m, s: layout.take_slice(m, 1, 3, 30, 4), f"SELECT i0, (i1-3)//4 AS i1, v FROM {W} WHERE i1>=3 AND i1<30 AND (i1-3)%4=0"),
+    "concat": (lambda m, s: layout.concatenate([(m, s), (m, s)], 0), f"SELECT i0, i1, v FROM {W} UNION ALL SELECT i0+{ROWS}, i1, v FROM {W}"),
+    "stack": (lambda m, s: layout.stack([m, m], 2), f"SELECT CAST(0 AS BIGINT) AS i0, i0 AS i1, i1 AS i2, v FROM {W} UNION ALL SELECT 1, i0, i1, v FROM {W}"),
+    "split": (lambda m, s: layout.split(m, 40, 4, 1), f"SELECT i0, i1%10 AS i1, v, i1//10 AS part FROM {W}"),
+    "repeat": (lambda m, s: layout.repeat(m, 2, 1), f"SELECT i0, i1*2+k AS i1, v FROM {W}, (VALUES (0),(1)) x(k)"),
+    "tile": (lambda m, s: layout.tile(m, s[0], 3, 0), f"SELECT i0+{ROWS}*k AS i0, i1, v FROM {W}, (VALUES (0),(1),(2)) x(k)"),
+    "flip": (lambda m, s: layout.flip(m, 40, 1), f"SELECT i0, 39-i1 AS i1, v FROM {W}"),
+    "roll": (lambda m, s: layout.roll(m, s[0], -7, 0), f"SELECT ((i0-7)%{ROWS}+{ROWS})%{ROWS} AS i0, i1, v FROM {W}"),
+    "pad": (lambda m, s: layout.pad(m, s, [(1, 0), (2, 1)], 9.0), f"SELECT i0+1 AS i0, i1+2 AS i1, v FROM {W} UNION ALL SELECT a, b, 9.0 FROM (SELECT unnest(range({ROWS}+1)) AS a), range(43) y(b) WHERE a<1 OR b<2 OR b>=42"),
+    "diagonal": (lambda m, s: layout.diagonal(m, 2), f"SELECT i0, v FROM {W} WHERE i1-i0=2"),
+    "trace": (lambda m, s: linalg.trace(m).select(r(F.col("trace")).alias("trace")), f"SELECT round(sum(v),6) AS trace FROM {W} WHERE i0=i1"),
+    "matmul": (lambda m, s: linalg.matmul(m, layout.transpose(m, 2)).select("i0", "i1", r(F.col("v"), 3).alias("v")), f"SELECT a.i0, b.i0 AS i1, round(sum(a.v*b.v),3) AS v FROM {W} a JOIN {W} b ON a.i1=b.i1 GROUP BY 1,2"),
+    "norms": (lambda m, s: linalg.norms(m).select(*[r(F.col(c), 4).alias(c) for c in ("fro", "l1", "inf")]), f"SELECT round(sqrt(sum(v*v)),4) AS fro, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {W} GROUP BY i1)) AS l1, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {W} GROUP BY i0)) AS inf FROM {W}"),
+    "select_nonzero": (lambda m, s: layout.reshape(m, s, (s[0], -1)).filter("v <> 0 and v > 250"), f"SELECT i0, i1, v FROM {W} WHERE v <> 0 AND v > 250"),
+}
+for _name, (_f, _sql) in WHOLE.items():
+    QUERIES[f"{_name}_all"] = lambda spark, sf, f=_f: f(*table_matrix(spark, sf))
+    ORACLE[f"{_name}_all"] = _sql
+
+
+@query("WITH n AS (SELECT max(event_id)+1 AS n FROM events) SELECT n_nationkey, event_id, value AS v FROM nation, n JOIN events ON event_id = (((n_nationkey*37-50) % n)+n)%n")
+def take_wrap_all(spark, sf):
+    e = events(spark, sf)
+    p = t(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 37 - 50).alias("p"))
+    return ordering.take(e, "event_id", p, "p", length(e), "wrap").select("n_nationkey", "event_id", "v")
+
+
 @query("SELECT i AS i0, 5+3*i AS v FROM range(10) x(i)")
 def arange(spark, sf):
     return arrays.arange(spark, 5, 33, 3)
