@@ -4,8 +4,7 @@ Per language a suffix automaton holds labelled text. A text is parsed greedily a
 matches; the language that needs the fewest phrases wins (ties: the first in alphabetical order). Texts are lower-cased
 (A-Z), runs of other ASCII than letters become one space, and parsed in blocks of BLOCK bytes, all blocks at once.
 
-Learning takes a bounded sample: of each language the SAMPLE_DOCS texts with the least hash of their id, of each at most
-SAMPLE_CHARS characters, cut to SAMPLE_BYTES in all. Prediction reads whole texts. Null texts and texts without a letter
+Learning takes of each language the SAMPLE_DOCS texts with the least hash of their id, whole. Prediction reads whole texts. Null texts and texts without a letter
 are `und` with score 0. With nothing to learn from, everything is `und`. The score is the winner's share of e^-phrases.
 """
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import column, crc32_mod, flat, pieces, ship
 from gneiss.llm.text import LETTERS, LOWER, squeeze
 
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, BLOCK = 48, 2000, 40_000, 256
+SAMPLE_DOCS, BLOCK = 48, 256
 FAIL = np.int32(1 << 30)
 
 
@@ -112,14 +111,14 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def learn(train: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict[str, bytes]:
-    """The bounded sample of each language as one byte string."""
-    ranked = train.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("k"))
+    """The sampled texts of each language as one byte string."""
+    ranked = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("k"))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k", "text"))).filter(F.col("r") <= SAMPLE_DOCS)
     out: dict[str, bytes] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["r"])):
         raw = np.frombuffer(r["text"].encode(), np.uint8)
         out[r["lang"]] = out.get(r["lang"], b"") + squeeze(LETTERS[raw], np.array([0, len(raw)]))[0].tobytes() + b" "
-    return {k: v[:SAMPLE_BYTES] for k, v in sorted(out.items())}
+    return dict(sorted(out.items()))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -130,7 +129,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     held = F.coalesce(crc32_mod("id", 4) == 2, F.lit(False))
     sample = learn(d.filter(~held & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull()), "text", "lang", "id")
     langs, key = list(sample), repr(sample)
-    shared = spark.sparkContext.broadcast(sample)  # at most SAMPLE_BYTES a language
+    shared = spark.sparkContext.broadcast(sample)  # SAMPLE_DOCS texts a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = sys.modules[__name__].__dict__.setdefault("_parsers", {})

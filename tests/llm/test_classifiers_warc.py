@@ -41,6 +41,12 @@ def test_language_accuracy_and_edge_cases(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_sampled_texts_are_learned_whole(spark):
+    texts = [("abc " * 1500 + f"tail{'xyz'[i % 3]}{chr(97 + i % 26)}{chr(97 + i // 26)} ").strip() for i in range(40)]
+    got = langid.learn(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "id long, text string, lang string"), "text", "lang", "id")
+    assert len(got["en"]) == sum(len(t) + 1 for t in texts) and all(t.split()[-1].encode() in got["en"] for t in texts)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     e, t, first = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([0, 4, 4, 5, 9])
