@@ -2,7 +2,8 @@
 
 Per language a suffix automaton holds labelled text. A text is parsed greedily against each automaton into longest
 matches; the language that needs the fewest phrases wins (ties: the first in alphabetical order). Texts are lower-cased
-(A-Z), runs of other ASCII than letters become one space, and parsed in blocks of BLOCK bytes, all blocks at once.
+(A-Z), runs of other ASCII than letters become one space, and parsed as one sequence: blocks of BLOCK bytes all at once, then again
+those whose block before ended in another state than they began with, until none did.
 
 Learning takes of each language the SAMPLE_DOCS texts with the least hash of their id, whole. Prediction reads whole texts. Null texts and texts without a letter
 are `und` with score 0. With nothing to learn from, everything is `und`. The score is the winner's share of e^-phrases.
@@ -73,15 +74,24 @@ class Parser:
         table[:, -1] = 0
         self.table = table.ravel()
 
-    def phrases(self, blocks: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Ended phrases of each block; blocks run down, live masks padding."""
+    def phrases(self, blocks: np.ndarray, live: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ended phrases, last state) of each block from its start state; blocks run down, live masks padding."""
         code = self.code[blocks]
         code[~live] = self.width - 1
-        s, n = np.zeros(blocks.shape[1], np.int32), np.zeros(blocks.shape[1], np.int32)
+        s, n = start, np.zeros(blocks.shape[1], np.int32)
         for row in code:
             s = self.table[s + row]
             n += s >> 30
             s &= FAIL - 1
+        return n, s
+
+    def joined(self, blocks: np.ndarray, live: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Ended phrases of each block where a text's parse goes on from block to block; head marks texts' first blocks."""
+        start = np.zeros(blocks.shape[1], np.int32)
+        n, end = self.phrases(blocks, live, start)
+        while len(redo := np.flatnonzero(~head[1:] & (end[:-1] != start[1:])) + 1):
+            start[redo] = end[redo - 1]
+            n[redo], end[redo] = self.phrases(blocks[:, redo], live[:, redo], start[redo])
         return n
 
 
@@ -94,9 +104,10 @@ def parse_counts(parsers: list[Parser], buf: np.ndarray, off: np.ndarray) -> np.
     t = np.arange(BLOCK)[:, None]
     live = t < np.minimum(BLOCK, off[doc + 1] - begin)
     blocks = buf[np.minimum(begin + t, max(len(buf) - 1, 0))] if len(buf) else np.zeros((BLOCK, 0), np.uint8)
+    head = np.diff(doc, prepend=-1) > 0
     out = np.zeros((len(n), len(parsers)), np.int64)
     for k, p in enumerate(parsers):
-        out[:, k] = np.bincount(doc, weights=p.phrases(blocks, live), minlength=len(n))
+        out[:, k] = np.bincount(doc, weights=p.joined(blocks, live, head), minlength=len(n))
     return out
 
 

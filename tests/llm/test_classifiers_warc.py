@@ -28,6 +28,25 @@ def test_suffix_automaton_and_greedy_parse():
         assert n == phrases
 
 
+def test_long_texts_are_one_sequence():
+    rng = np.random.default_rng(3)
+    both = [bytes(rng.choice(list(b"abc"), 3000, p=w).tolist()) for w in ([0.6, 0.3, 0.1], [0.2, 0.3, 0.5])]
+    texts = [bytes(rng.choice(list(b"abcd"), n).tolist()) for n in (256, 257, 0, 512, 5000)] + [both[0][100:1900], both[1][5:2600], b"a" * 1500]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = langid.parse_counts([langid.Parser(d) for d in both], np.frombuffer(b"".join(texts), np.uint8), off)
+    want = np.zeros_like(got)
+    for i, t in enumerate(texts):
+        for k, d in enumerate(both):
+            cur = b""
+            for c in t:
+                if cur + bytes([c]) in d:
+                    cur += bytes([c])
+                else:
+                    want[i, k] += 1
+                    cur = bytes([c]) if bytes([c]) in d else b""
+    assert got.tolist() == want.tolist() and got.argmin(axis=1).tolist() == want.argmin(axis=1).tolist()
+
+
 def test_language_accuracy_and_edge_cases(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op4_langid"](spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
