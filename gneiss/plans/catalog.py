@@ -415,7 +415,8 @@ def knn_regress(spark, sf):
 @query()
 def logistic(spark, sf):
     d = events(spark, sf).select((F.col("v") / 100).alias("s"), (F.col("v") > 50).cast("int").alias("y")).cache()
-    return ml.logistic_regression(d, ["s"], "y", rate=0.5, iterations=30)[0].select("term", r(F.col("coefficient")).alias("coefficient"))
+    model, steps, done = ml.logistic_regression(d, ["s"], "y", rate=0.5)
+    return model.select("term", r(F.col("coefficient")).alias("coefficient"), F.lit(steps).alias("iterations"), F.lit(done).alias("converged"))
 
 
 @query()
