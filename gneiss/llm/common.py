@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import os
+import re
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at a time; bounds its memory whatever Arrow's batches hold.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to a worker (a row that is longer goes alone).
+ARROW_BYTES = 4 << 20
 
 _shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors (once per application)."""
+    """Makes this package importable on the executors (once per application) and bounds the session's Arrow batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -39,11 +48,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one (one machine only)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if base is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="gneiss-shared-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -74,7 +85,53 @@ def _sweep() -> None:
         try:
             drop_scratch(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before the interpreter
-            return
+            continue
+
+
+def settle() -> None:
+    """In a worker, once: one heap for all threads, whose large blocks go back to the system as soon as they are freed."""
+    if "_libc" in globals():
+        return
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+    if libc is not None and hasattr(libc, "mallopt"):
+        # M_ARENA_MAX, M_MMAP_THRESHOLD and M_TRIM_THRESHOLD of the C library
+        for key, value in ((-8, 1), (-3, 4 << 20), (-1, 16 << 20)):
+            libc.mallopt(key, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+    globals()["_libc"] = libc
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the system, since workers are kept from stage to stage."""
+    if hasattr(libc := globals().get("_libc"), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def _lean_batches(run: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settle()
+    try:
+        yield from run(batches)
+    finally:
+        give_back()
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow whose workers keep no freed memory from task to task."""
+    return partial(_lean_batches, run)
+
+
+def map_groups(df: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """applyInArrow on each group of a key, likewise."""
+
+    def lean_group(group: pa.Table) -> pa.Table:
+        settle()
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return df.groupBy(key).applyInArrow(lean_group, schema)
 
 
 def buckets(df: DataFrame, mb_each: float, least: int = 8) -> int:
@@ -85,9 +142,32 @@ def buckets(df: DataFrame, mb_each: float, least: int = 8) -> int:
     return max(least, min(1 << 20, math.ceil(size / 1e6 / mb_each)))
 
 
-def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, under fixed names, so that other columns cannot clash."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def two_columns(df: DataFrame, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
+    """Only the id, the text and, if asked for, the row's key, under fixed names, so that other columns cannot clash."""
+    own = [F.col(f"`{key_col}`").alias("key")] if key_col else []
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *own)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of columns equals, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ids_repeat(df: DataFrame, id_col: str) -> bool:
+    """Whether an id that is not null occurs in several rows."""
+    return bool(df.select(F.col(f"`{id_col}`").alias("id")).filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count())
+
+
+def with_row_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """df with a long column, and its name, that tells rows apart: the id where ids are unique and not null, else numbers that are written with the rows."""
+    key = fresh("row_key", df.columns)
+    own = F.col(f"`{id_col}`").cast("long")
+    if not ids_repeat(df, id_col) and not df.filter(own.isNull()).limit(1).count():
+        return df.withColumn(key, own), key
+    return save(df.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
