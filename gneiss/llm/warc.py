@@ -6,8 +6,9 @@ write whole bundles to the shared folder under names that follow from their cont
 a rename, so that a repeated task replaces its own file. Reading opens a bundle's footer first and then single frames.
 
 Equal payloads of at least REVISIT_BYTES are stored once: the record with the largest page id is the response, the
-others are revisits of it. Null payloads count as empty; repeated page ids are records of their own. Nothing is written
-for an empty table.
+others are revisits of it. Null payloads count as empty. Rows of one page id are records of their own, each with its own
+payload; of equal payloads all rows with the largest id are responses. A row whose id is null is a response, also where rows
+with ids share its payload, for it has no place in their order. Nothing is written for an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import column, scratch_path, ship
+from gneiss.llm.common import column, lean, pieces, save, scratch_path, ship
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_BYTES = 1 << 18, 16 << 20, 1000
 # Fixed values of the seekable format.
@@ -145,12 +146,13 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     spark = pages.sparkSession
     ship(spark)
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("body"))
-    facts = p.select("id", F.sha1("body").alias("sha1"), F.sha2("body", 256).alias("sha2"), F.octet_length("body").alias("n"))
-    large = facts.filter(F.col("n") >= REVISIT_BYTES)
-    last = large.groupBy("sha2", "n").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    # only copies get a row here, so pages join a small table by their unique id
-    again = large.join(last, ["sha2", "n"]).filter("id <> keeper").groupBy(F.col("id").alias("copy")).agg(F.max("keeper").alias("keeper"))
-    rows = p.join(again.hint("merge"), F.col("id") == F.col("copy"), "left").select("id", "url", "body", "keeper", F.sha1("body").alias("sha1"))
+    large = p.select("id", F.sha2("body", 256).alias("sha2"), F.octet_length("body").alias("n")).filter(F.col("n") >= REVISIT_BYTES).select("id", "sha2")
+    # written, so that both sides of the join come from files and a payload with very many copies can be split
+    last = save(large.groupBy("sha2").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "payloads")
+    # only copies get a row here, told apart by id and payload: an id may stand for several payloads
+    again = save(large.join(last.hint("merge"), "sha2").filter("id <> keeper").select(F.col("id").alias("copy"), F.col("sha2").alias("payload"), "keeper").distinct(), "copies")
+    own = F.when(F.octet_length("body") >= REVISIT_BYTES, F.sha2("body", 256))
+    rows = p.join(again.hint("merge"), (F.col("id") == F.col("copy")) & (own == F.col("payload")), "left").select("id", "url", "body", "keeper", F.sha1("body").alias("sha1"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,7 +167,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             w, k = BundleWriter(), k + 1
             return pa.record_batch([pa.array([r[0] for r in i], pa.int64()), pa.array([name] * len(i), pa.string()), pa.array([r[1] for r in i], pa.int32()), pa.array([r[2] for r in i], pa.int64()), pa.array([r[3] for r in i], pa.int64())], names=[f.split()[0] for f in INDEX.split(", ")])
 
-        for b in batches:
+        for b in pieces(batches, "body"):
             for i, url, body, keeper, sha1 in zip(*(column(b, c).to_pylist() for c in ("id", "url", "body", "keeper", "sha1")), strict=True):
                 w.add(i, record(i, url, body, sha1, keeper))
                 if w.total >= BUNDLE_BYTES:
@@ -173,7 +175,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         if w.index:
             yield done()
 
-    return rows.mapInArrow(write, INDEX)
+    return rows.mapInArrow(lean(write), INDEX)
 
 
 def read_index(index: DataFrame, folder: str) -> DataFrame:
@@ -200,7 +202,7 @@ def read_index(index: DataFrame, folder: str) -> DataFrame:
                 rows.append((i, int(head["X-Payload-Length"]), digest, kind, int(ref[10:-1]) if ref else None, head["WARC-Target-URI"]))
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=[f.split()[0] for f in schema.split(", ")])
 
-    return index.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read, schema)
+    return index.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(lean(read), schema)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
