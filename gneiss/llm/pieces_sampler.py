@@ -3,11 +3,14 @@
 A text gets one leading space; spaces belong to the unit that follows them, and no piece of the vocabulary crosses from a
 letter into a space, so the lattice factorises into units. Units that occur again share their lattice: per byte position
 the pieces that end there, with forward-filtered probabilities. Sampling walks all units of a batch back from their ends
-at once; each step's random number is a hash of (seed, row id, unit, step), so a row's segmentation depends on nothing else.
+at once; each step's random number is a hash of (seed, row id, unit, step) and is compared with whole-number thresholds of its
+node, so a row's segmentation depends on nothing else, neither on its batch nor on what the worker has seen before.
 
 Piece weights fall with the vocabulary's rank as rank^-alpha. A character that is no piece is spelled in byte pieces, as is
-a literal U+2581, so decoding gives back every text byte for byte. Null and empty texts have no pieces. Rows with one id
-and one text get one segmentation; null ids count as 0.
+a literal U+2581, so decoding gives back every text byte for byte. Pieces with a space inside are not used: no sampled
+segmentation joins two words. Null and empty texts have no pieces. Rows with one id and one text get one segmentation, rows
+of one id and different texts one each; null ids count as 0. Empty tables give empty results. Columns other than id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gneiss.llm.common import column, flat, pieces, ship, two_columns
+from gneiss.llm.common import column, flat, lean, pieces, ship, two_columns
 from gneiss.llm.text import M1, M2, M3, mix, span_hashes
 
 #: Edges of remembered lattices in a worker; beyond, it starts anew. Weight of a byte piece, as a rank.
 MEMO_EDGES, BYTE_RANK = 8_000_000, 1 << 20
+#: A step compares a whole number of so many bits with its node's thresholds; node and number share 64 bits.
+DRAW_BITS = 36
 SPACE_MARK = "▁"
 
 
@@ -73,7 +78,7 @@ class Lattices:
 
     def _clear(self) -> None:
         self.known, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.cdf, self.src, self.piece, self.nodes = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+        self.cdf, self.src, self.piece, self.nodes = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
 
     def _in(self, table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = np.minimum(np.searchsorted(table, h), len(table) - 1)
@@ -136,11 +141,13 @@ class Lattices:
         node, to, ids, p = node[order], to[order], ids[order], p[order]
         heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         size = np.diff(np.append(heads, len(to)))
-        run = np.cumsum(p)
-        cdf = run - np.repeat(run[heads] - p[heads], size)
-        cdf = np.minimum(cdf, 1.0)
-        cdf[heads + size - 1] = 1.0
-        self.cdf = np.concatenate([self.cdf, to + self.nodes + cdf])
+        # each node's running sums are its own, so that they do not depend on what else is learned at the same time
+        for j in range(1, int(size.max())):
+            k = heads[size > j] + j
+            p[k] += p[k - 1]
+        upto = np.floor(np.minimum(p, 1.0) * (1 << DRAW_BITS)).astype(np.int64)
+        upto[heads + size - 1] = 1 << DRAW_BITS
+        self.cdf = np.concatenate([self.cdf, ((to + self.nodes) << DRAW_BITS) + upto])
         self.src = np.concatenate([self.src, (node + self.nodes).astype(np.int32)])
         self.piece = np.concatenate([self.piece, ids.astype(np.int32)])
         order = np.argsort(k := np.concatenate([self.known, h]), kind="stable")
@@ -162,7 +169,7 @@ class Lattices:
         first = np.searchsorted(start, off)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
         h, where, back = np.unique(span_hashes(buf, start, n), return_index=True, return_inverse=True)
-        if len(self.cdf) > MEMO_EDGES:
+        if len(self.cdf) + 4 * int(n[where].sum()) > MEMO_EDGES:
             self._clear()
         new = np.flatnonzero(~self._in(self.known, h)[0]) if len(self.known) else np.arange(len(h))
         if len(new):
@@ -177,8 +184,8 @@ class Lattices:
         lane = np.argsort(end, kind="stable")  # near nodes together: look-ups stay in the cache
         node, got, step = end[lane], [], np.uint64(0)
         while len(lane):
-            r = (mix(key[lane] + np.array([step]) * M2) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(self.cdf, node + r, "right")
+            r = (mix(key[lane] + np.array([step]) * M2) >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
+            e = np.searchsorted(self.cdf, (node << DRAW_BITS) + r, "right")
             got.append((lane, self.piece[e]))
             node = self.src[e].astype(np.int64)
             more = node > stop[lane]
@@ -233,7 +240,7 @@ def _sampled(df: DataFrame, path: str, alpha: float, seed: int, id_col: str, tex
                 same = np.array([text[p:q].tobytes() == buf[x:y].tobytes() for p, q, x, y in zip(begin[:-1], begin[1:], off[:-1], off[1:], strict=True)])
             yield pa.record_batch([column(b, "id"), pa.array(np.diff(off), pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sha, pa.string()), pa.array(same)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, schema)
+    return two_columns(df, id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def sample_pieces(df: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,4 +263,4 @@ def decode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", pieces_col:
             text = [t.decode_all(np.array(x, np.int64), np.array([0, len(x)]))[0].tobytes().decode() if x is not None else None for x in column(b, pieces_col).to_pylist()]
             yield pa.record_batch([column(b, id_col), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return df.select(id_col, pieces_col).mapInArrow(run, "doc_id long, text string")
+    return df.select(id_col, pieces_col).mapInArrow(lean(run), "doc_id long, text string")

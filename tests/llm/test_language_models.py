@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -111,3 +112,85 @@ def test_sampled_frequencies_equal_enumeration(word):
     for k, w in weight.items():
         p = w / total
         assert abs(got[k] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+M64 = (1 << 64) - 1
+
+
+def spread(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_sample(t, text, row, seed):
+    """Forward filtering and backward sampling of one text with dictionaries and whole numbers."""
+    piece = {t.text[i]: (i, p) for i, p in zip(t.id.tolist(), t.logp.tolist(), strict=True) if i >= 0}
+    m1, m2, m3 = (int(x) for x in (ps.M1, ps.M2, ps.M3))
+    raw = (" " + text).encode() if text else b""
+    seeds, out = (row + seed * m3) & M64, []
+    for u, unit in enumerate(re.findall(rb" *[^ ]+| +$", raw)):
+        edges, alpha = {}, [0.0] + [-math.inf] * len(unit)
+        chars = [i for i in range(len(unit)) if unit[i] & 0xC0 != 0x80]
+        for c, i in enumerate(chars):
+            end = chars[c + 1] if c + 1 < len(chars) else len(unit)
+            for j in range(i + 1, min(len(unit), i + t.longest) + 1):
+                if unit[i:j] in piece:
+                    edges.setdefault(j, []).append((i, *piece[unit[i:j]]))
+            if unit[i:end] not in piece:
+                for j in range(i, end):
+                    edges.setdefault(j + 1, []).append((j, int(t.byte_id[unit[j]]), t.byte_logp))
+        upto = {}
+        for j in range(1, len(unit) + 1):
+            if j in edges:
+                e = sorted(edges[j], key=lambda x: x[1])
+                top = max(p + alpha[i] for i, _, p in e)
+                w = [math.exp(p + alpha[i] - top) for i, _, p in e]
+                alpha[j] = top + math.log(sum(w))
+                upto[j] = [(min(1.0, sum(x / sum(w) for x in w[: k + 1])), i, own) for k, (i, own, _) in enumerate(e)]
+        at, step, got = len(unit), 0, []
+        key = spread((spread(seeds ^ m1) + u * m3) & M64)
+        while at:
+            r = spread((key + step * m2) & M64) >> (64 - ps.DRAW_BITS)
+            at, own = next((i, own) for k, (p, i, own) in enumerate(upto[at]) if k + 1 == len(upto[at]) or r < math.floor(p * (1 << ps.DRAW_BITS)))
+            got.append(own)
+            step += 1
+        out += got[::-1]
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 7])
+def test_digests_equal_plain_sampling(spark, seed):
+    texts = [*TEXTS, "The quick brown fox jumps over the lazy dogs  again", "ééé naïveté straße 東京 ▁x"]
+    rows = [(i * 7, t) for i, t in enumerate(texts)] + [(0, "another text"), (None, "null id"), (-5, "negative")]
+    t = ps.Lattices(PATH, 1.0)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_pieces"], r["pieces_sha256"], r["lossless"]) for r in ps.sample_digests(spark.createDataFrame(rows, "doc_id long, text string"), PATH, seed=seed).collect())
+    want = []
+    for i, x in rows:
+        ids = plain_sample(t, x or "", (i or 0) & M64, seed)
+        want.append((str(i), len((x or "").encode()), len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True))
+    assert got == sorted(want)
+
+
+def test_draws_do_not_depend_on_the_memo(monkeypatch):
+    """The same segmentations from a fresh memo, from a nearly full one, and with draws at both ends of a node's range."""
+    fresh, full = ps.Lattices(PATH, 1.0), ps.Lattices(PATH, 1.0)
+    rng = np.random.default_rng(3)
+    junk = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(60000)).encode()
+    full.sample(np.frombuffer(junk, np.uint8), np.array([0, len(junk)]), np.zeros(1, np.uint64))
+    assert full.nodes > 500_000
+    text = "Some ordinary sentences about naïve segmentations".encode()
+    one = lambda t: t.sample(np.frombuffer(text * 50, np.uint8), np.arange(51) * len(text), np.arange(50).astype(np.uint64))[0].tolist()
+    assert one(fresh) == one(full)
+    # as if the memo had almost all nodes that it may have
+    far = ps.Lattices(PATH, 1.0)
+    far.nodes = 2 * ps.MEMO_EDGES
+    assert one(far) == one(fresh)
+    far.learn(np.array([1], np.uint64), np.frombuffer(b" word", np.uint8), np.array([0, 5]))
+    at = int(far.end[np.searchsorted(far.known, np.uint64(1))])
+    heads = far.cdf >> ps.DRAW_BITS
+    own = np.flatnonzero((heads == at) | ((heads == at + 1) & (far.cdf & ((1 << ps.DRAW_BITS) - 1) == 0)))
+    for r in (0, 1, (1 << ps.DRAW_BITS) - 1):
+        assert np.searchsorted(far.cdf, (at << ps.DRAW_BITS) + r, "right") in own
