@@ -1,12 +1,21 @@
 """Language identification by cross-parsing entropy.
 
 Per language a suffix automaton holds labelled text. A text is parsed greedily against each automaton into longest
-matches; the language that needs the fewest phrases wins (ties: the first in alphabetical order). Texts are lower-cased
-(A-Z), runs of other ASCII than letters become one space, and parsed as one sequence: blocks of BLOCK bytes all at once, then again
-those whose block before ended in another state than they began with, until none did.
-
-Learning takes of each language the SAMPLE_DOCS texts with the least hash of their id, whole. Prediction reads whole texts. Null texts and texts without a letter
-are `und` with score 0. With nothing to learn from, everything is `und`. The score is the winner's share of e^-phrases.
+matches. A phrase names a place in the labelled text, which costs the logarithm of that text's length; so a language's
+cost is its number of phrases times log2 of the bytes it was learned from, and the least cost (divided by the text's
+length: the cross-entropy) wins; ties go to the first language in alphabetical order. A byte that the language does not
+have is a phrase of its own, and the phrase that is open at a text's end counts. Texts are lower-cased (A-Z), runs of
+other ASCII than letters become one space, and parsed as one sequence: blocks of BLOCK bytes all at once, then again those
+whose block before ended in another state than they began with, until none did.
+
+Learning takes of each language a bounded sample of its rows: SAMPLE_DOCS texts (fewer where there are more than 16
+languages, SAMPLE_ALL in all), those of at most SAMPLE_BYTES bytes first and then by the least hash of their id; of a
+longer text, which is taken only where shorter ones do not suffice, its first SAMPLE_BYTES bytes. Prediction reads whole
+texts. Null texts and texts without a letter are `und` with score 0. With nothing to learn from, everything is `und`. The
+score is the winner's share of 2^-cost.
+
+Rows are judged one by one: repeated rows get equal results, null ids are not learned from, empty tables give empty
+results, and columns other than id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -19,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import column, crc32_mod, flat, pieces, ship
+from gneiss.llm.common import column, crc32_mod, flat, lean, pieces, ship
 from gneiss.llm.text import LETTERS, LOWER, squeeze
 
-SAMPLE_DOCS, BLOCK = 48, 256
-FAIL = np.int32(1 << 30)
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_BYTES, BLOCK = 48, 768, 1 << 15, 256
+#: A phrase that ends, in a table's entry; twice that where the byte is a phrase of its own as well.
+FAIL = np.int32(1 << 29)
 
 
 def suffix_automaton(data: bytes) -> list[dict[int, int]]:
@@ -56,9 +66,10 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 class Parser:
-    """An automaton as one table: next state times width, with FAIL where a phrase ends before the byte."""
+    """An automaton as one table: next state times width, with FAIL for each phrase that ends before or with the byte."""
 
     def __init__(self, data: bytes):
+        self.cost = np.log2(max(2, len(data)))  # bits that name a place in the labelled text
         trans = suffix_automaton(data)
         seen = sorted(set(data))
         self.width = len(seen) + 2  # the last two: bytes not seen, and padding
@@ -71,7 +82,8 @@ class Parser:
         for s, t in enumerate(trans):
             for c, to in t.items():
                 table[s, self.code[c]] = to * self.width
-        table[:, -1] = 0
+        table[1:, -2] = 2 * FAIL
+        table[:, -1] = np.arange(len(trans)) * self.width  # padding changes nothing
         self.table = table.ravel()
 
     def phrases(self, blocks: np.ndarray, live: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,18 +93,18 @@ class Parser:
         s, n = start, np.zeros(blocks.shape[1], np.int32)
         for row in code:
             s = self.table[s + row]
-            n += s >> 30
+            n += s >> 29
             s &= FAIL - 1
         return n, s
 
     def joined(self, blocks: np.ndarray, live: np.ndarray, head: np.ndarray) -> np.ndarray:
-        """Ended phrases of each block where a text's parse goes on from block to block; head marks texts' first blocks."""
+        """Phrases of each block where a text's parse goes on from block to block; head marks texts' first blocks."""
         start = np.zeros(blocks.shape[1], np.int32)
         n, end = self.phrases(blocks, live, start)
         while len(redo := np.flatnonzero(~head[1:] & (end[:-1] != start[1:])) + 1):
             start[redo] = end[redo - 1]
             n[redo], end[redo] = self.phrases(blocks[:, redo], live[:, redo], start[redo])
-        return n
+        return n + (np.append(head[1:], True) & (end > 0))  # the phrase that is open at a text's end
 
 
 def parse_counts(parsers: list[Parser], buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -122,12 +134,15 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def learn(train: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict[str, bytes]:
-    """The sampled texts of each language as one byte string."""
-    ranked = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("k"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k", "text"))).filter(F.col("r") <= SAMPLE_DOCS)
+    """The sampled texts of each language as one byte string: at most SAMPLE_ALL * SAMPLE_BYTES bytes, or a text a language."""
+    langs = train.select(F.col(lang_col)).distinct().count()
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // max(1, langs)))
+    text = F.col(text_col)
+    ranked = train.select(F.col(lang_col).alias("lang"), F.substring(text, 1, SAMPLE_BYTES).alias("text"), (F.octet_length(text) > SAMPLE_BYTES).alias("long"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("k"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "k", "text"))).filter(F.col("r") <= each)
     out: dict[str, bytes] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["r"])):
-        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        raw = np.frombuffer(r["text"].encode()[:SAMPLE_BYTES], np.uint8)
         out[r["lang"]] = out.get(r["lang"], b"") + squeeze(LETTERS[raw], np.array([0, len(raw)]))[0].tobytes() + b" "
     return dict(sorted(out.items()))
 
@@ -140,7 +155,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     held = F.coalesce(crc32_mod("id", 4) == 2, F.lit(False))
     sample = learn(d.filter(~held & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull()), "text", "lang", "id")
     langs, key = list(sample), repr(sample)
-    shared = spark.sparkContext.broadcast(sample)  # SAMPLE_DOCS texts a language
+    shared = spark.sparkContext.broadcast(sample)  # bounded, see learn
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = sys.modules[__name__].__dict__.setdefault("_parsers", {})
@@ -153,10 +168,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             buf, off = squeeze(LETTERS[buf], off)
             pred, score = ["und"] * len(ok), np.zeros(len(ok))
             if langs:
-                n = parse_counts(memo[key], buf, off)
-                best = n.argmin(axis=1)
-                score = np.where(ok, 1 / np.exp(np.maximum(n.min(axis=1, keepdims=True) - n, -700)).sum(axis=1), 0.0)
+                cost = parse_counts(memo[key], buf, off) * np.array([p.cost for p in memo[key]])
+                best = cost.argmin(axis=1)
+                score = np.where(ok, 1 / np.exp2(np.maximum(cost.min(axis=1, keepdims=True) - cost, -1000)).sum(axis=1), 0.0)
                 pred = [langs[k] if o else "und" for k, o in zip(best.tolist(), ok.tolist(), strict=True)]
             yield pa.record_batch([column(b, "id"), column(b, "held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return d.select("id", "text", held.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return d.select("id", "text", held.alias("held_out")).mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
