@@ -7,9 +7,13 @@ score is a logistic function of their sum, of the largest, and of the length.
 
 Tokens are runs of letters (ASCII letters, lower-cased, and all bytes of longer characters).
 
-Learning takes a bounded sample, SAMPLE labelled rows of each class (least hash of the id), with the classes' true
-proportion as weights. Scoring reads whole texts. Empty and null texts get the score of an empty document. Without labels
-of both classes every score is the (smoothed) share of toxic ones.
+Learning takes a bounded sample, SAMPLE labelled rows of each class (least hash of the id; of a text of more than
+SAMPLE_CHARS characters that many), with the classes' true proportion as weights. Scoring reads whole texts. Empty and null
+texts get the score of an empty document. Without labels of both classes every score is the (smoothed) share of toxic ones.
+
+Labels: of several for one id the largest counts; null ids and labels other than 0 and 1 are not used; of several documents
+with one id the least text is learned from. Every row is scored by its own text, whatever its id. Empty tables give empty
+results. Columns other than id and text are not read; drop_toxic hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import column, crc32_mod, flat, pieces, ship
+from gneiss.llm.common import column, crc32_mod, flat, fresh, give_back, lean, pieces, settle, ship
 from gneiss.llm.text import LETTERS, Words, span_hashes, split
 
 SAMPLE, TOKEN_ODDS, SEGMENT = 1200, 2.5, 64
+#: Characters of a sampled text that are learned; only longer ones are cut, and only for learning.
+SAMPLE_CHARS = 1 << 16
 #: Text bytes scored at a time: less than other operators take, for a token has about twenty numbers here.
 SCORED_BYTES = 3 << 20
 #: Upper edges of the log-odds bins; a word of no evidence is in the bin of 0.
@@ -160,13 +166,16 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return (count.get(1, 0) + 0.5) / (sum(count.values()) + 1)
     least = [lab.filter(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (0, 1)]  # each partition sends SAMPLE rows at most
     top = least[0].unionByName(least[1])
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(top), "id").collect()  # top: 2 * SAMPLE ids at most
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(top), "id").groupBy("id").agg(F.min(F.struct("text", "y")).alias("r")).select("id", "r.text", "r.y").collect()  # 2 * SAMPLE rows at most
     rows.sort(key=lambda r: (r["id"], r["text"]))
     y = np.array([r["y"] for r in rows], np.int64)
     if not 0 < y.sum() < len(y):
         return (count[1] + 0.5) / (sum(count.values()) + 1)
     share = np.where(y == 1, count[1] / y.sum(), count[0] / (1 - y).sum())
-    return fit([r["text"] for r in rows], y, share * len(y) / share.sum())
+    settle()
+    model = fit([r["text"] for r in rows], y, share * len(y) / share.sum())
+    give_back()
+    return model
 
 
 def token_marginals(m: Model, buf: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -176,6 +185,14 @@ def token_marginals(m: Model, buf: np.ndarray, off: np.ndarray) -> tuple[Words,
     return w, marginals(emissions(m.weights, b, w.first), w.first, m.trans)[0]
 
 
+def text_scores(m: Model | float, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Words | None, np.ndarray | None]:
+    """Each text's score, its tokens and their marginals (none of both where the model is a share)."""
+    if isinstance(m, float):
+        return np.full(len(off) - 1, m), None, None
+    w, p = token_marginals(m, buf, off)
+    return 1 / (1 + np.exp(-np.clip(doc_features(p, w) @ m.doc, -30, 30))), w, p
+
+
 def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic, spans (byte offsets of tokens of marginal >= 0.5, as start and end) of each row."""
     ship(df.sparkSession)
@@ -183,24 +200,30 @@ def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col:
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in pieces(batches, limit=SCORED_BYTES):
             buf, off = flat(column(b, "text"))
-            if isinstance(m, float):
-                s, count, spans = np.full(b.num_rows, m), np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
+            s, w, p = text_scores(shared.value, buf, off)
+            if w is None:
+                count, spans = np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
             else:
-                w, p = token_marginals(m, buf, off)
-                s = 1 / (1 + np.exp(-np.clip(doc_features(p, w) @ m.doc, -30, 30)))
                 hit = np.flatnonzero(p >= 0.5)
                 count = np.bincount(w.doc[hit], minlength=b.num_rows)
                 at = np.stack([w.start[hit] - off[w.doc[hit]], w.start[hit] + w.length[hit] - off[w.doc[hit]]], axis=1).ravel()
                 spans = [x.tolist() for x in np.split(at, 2 * np.cumsum(count)[:-1])]
             yield pa.record_batch([column(b, "id"), column(b, "held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "n_toxic", "spans"])
 
-    return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans array<long>")
+    return d.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans array<long>")
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the rows that the model predicts to be toxic."""
-    gone = score(df, learn(df, labels, id_col, text_col, fold=False), id_col, text_col).filter("predicted = 1").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The input without the rows whose texts the model predicts to be toxic; each row is judged by its own text, whatever its id."""
+    model = learn(df, labels, id_col, text_col, fold=False)
+    ship(df.sparkSession)
+    shared, text = df.sparkSession.sparkContext.broadcast(model), fresh("judged_text", df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, text, SCORED_BYTES):
+            s = text_scores(shared.value, *flat(column(b, text)))[0]
+            yield b.select(b.schema.names[:-1]).filter(pa.array(s < 0.5))
+
+    return df.withColumn(text, F.col(f"`{text_col}`").cast("string")).mapInArrow(lean(run), df.schema)
