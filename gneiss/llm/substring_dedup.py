@@ -16,9 +16,10 @@ positions are suffixes.
 
 Words are compared by 48-bit and prefixes by 64-bit hashes; a window counts as equal if all its word hashes are.
 
-Null and empty texts have no words and stay as they are. Rows whose id is null neither remove nor lose words. Ids should
-be unique: identical repeated rows get one result each, differing rows with one id share the marks. Windows within one
-document do not count. Empty tables give empty results.
+Null and empty texts have no words and stay as they are. Rows whose id is null neither remove nor lose words. Rows of one
+id are parts of one document: each has its own positions and keeps its own words, no window crosses from one to the next,
+and windows within one document do not count. Empty tables give empty results. Columns other than id and text are not
+read; without_repeats hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from gneiss.llm.common import buckets, column, flat, longs, pieces, save, ship, two_columns
+from gneiss.llm.common import buckets, column, flat, ids_repeat, lean, longs, map_groups, pieces, save, ship
 from gneiss.llm.text import M3, Words, join_words, mix, span_hashes, split, window_hashes
 
 #: Words of an anchor's prefix, suffixes of a prefix from which on it is lengthened, MB of input for each group.
@@ -129,7 +131,7 @@ def _local(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups: in
     """kind 0: packed prefixes of a bucket; kind 1: windows of a document that are repeats within this task's texts."""
     for b in pieces(batches):
         buf, off = flat(column(b, "text"))
-        ids = longs(b, "id")
+        ids, part = longs(b, "id"), longs(b, "part")
         w = split(buf, off)
         h = span_hashes(buf, w.start, w.length)
         at = windows(w, size)
@@ -148,7 +150,7 @@ def _local(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups: in
         done = np.zeros(len(w), bool)
         done[p[same]] = True
         base, p = int(ids.min()), p[same]
-        i, v = runs(ids[w.doc[p]] - base, p - w.first[w.doc[p]])
+        i, v = runs(ids[w.doc[p]] - base, p - w.first[w.doc[p]] + part[w.doc[p]])
         rows = [(int(wh[0] >> np.uint64(33)) % groups, 1, base, pack(i.astype(np.uint64), v))] if len(p) else []
         a, v = anchors(h, at[~done[at]], size, prefix)
         a = np.unique(a)
@@ -160,7 +162,7 @@ def _local(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups: in
         d = w.doc[a]
         for g in np.flatnonzero(np.diff(cut)).tolist():
             s = slice(cut[g], cut[g + 1])
-            rows.append((g, 0, base, pack(key[s] & _KEY48, (ids[d[s]] - base).astype(np.uint64), a[s] - w.first[d[s]])))
+            rows.append((g, 0, base, pack(key[s] & _KEY48, (ids[d[s]] - base).astype(np.uint64), a[s] - w.first[d[s]] + part[d[s]])))
         yield _rows(rows)
 
 
@@ -201,15 +203,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups:
         if not b.num_rows:
             continue
         buf, off = flat(column(b, "text"))
-        ids = longs(b, "id")
+        ids, part = longs(b, "id"), longs(b, "part")
         w = split(buf, off)
         h = span_hashes(buf, w.start, w.length)
         at = windows(w, size)
         a, v = anchors(h, at, size, prefix)
         state = np.zeros(len(w), np.uint8)  # 1: kept prefix, 3: a hot one
         d, x = lists(column(b, "marks"))
-        p = w.first[d] + (x >> 1)
-        ok = p < w.first[d + 1]
+        p = w.first[d] + (x >> 1) - part[d]
+        ok = (p >= w.first[d]) & (p < w.first[d + 1])
         state[p[ok]] = 1
         state[p[ok & (x & 1 == 1)]] = 3
         keep = state[a] > 0
@@ -241,7 +243,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int, prefix: int, groups:
             ends = np.cumsum(n)
             src = np.repeat(p[s] - most[s] - (ends - n), n) + np.arange(ends[-1])
             d = w.doc[p[s]]
-            head = pack((ids[d] - base).astype(np.uint64), p[s] - w.first[d], least[s], most[s])
+            head = pack((ids[d] - base).astype(np.uint64), p[s] - w.first[d] + part[d], least[s], most[s])
             ctx = np.ascontiguousarray(h48[src]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             rows.append((g, len(head), base, head + ctx))
         yield _rows(rows)
@@ -295,31 +297,39 @@ def _subtrees(group: pa.Table, size: int, prefix: int) -> pa.Table:
     return _marks(1, *runs(ids[s], p[s] - o))
 
 
-def repeat_marks(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """(id, text, marks): each document with the runs of its repeated windows (null where it has none)."""
+def marked_rows(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, whole: bool = False) -> DataFrame:
+    """(id, text, part, marks[, row]): each row with the runs of its document's repeated windows (null where there are none).
+
+    part is where the row's positions begin within its document; row holds, if wanted, all columns of the input.
+    """
     spark = df.sparkSession
     ship(spark)
     prefix = min(prefix, size)
-    docs = two_columns(df, id_col, text_col)
+    own = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if whole else []
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(0).cast("long").alias("part"), *own)
+    if ids_repeat(df, id_col):  # a row's positions then follow those of the rows before it; a text has at most as many words as bytes
+        before = Window.partitionBy("id").orderBy(F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = save(rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).over(before), F.lit(0))).cast("long")), "parts")
+    docs = rows.select("id", "text", "part")
     groups = buckets(df, GROUP_MB)
-    sent = docs.filter("id is not null").mapInArrow(partial(_local, size=size, prefix=prefix, groups=groups), ROWS)
-    first = save(sent.groupBy("bucket").applyInArrow(_repeated, MARKS), "prefixes")
+    sent = docs.filter("id is not null").mapInArrow(lean(partial(_local, size=size, prefix=prefix, groups=groups)), ROWS)
+    first = save(map_groups(sent, "bucket", _repeated, MARKS), "prefixes")
 
-    def with_marks(marks: DataFrame) -> DataFrame:
-        return docs.join(marks.groupBy(F.col("id").alias("key")).agg(F.collect_list("v").alias("marks")), F.col("id") == F.col("key"), "left").select("id", "text", "marks")
+    def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        return rows.join(marks.groupBy(F.col("id").alias("key")).agg(F.collect_list("v").alias("marks")), F.col("id") == F.col("key"), "left").drop("key")
 
-    suffixes = with_marks(first.filter("kind = 0")).mapInArrow(partial(_suffixes, size=size, prefix=prefix, groups=groups), ROWS)
-    global_marks = suffixes.groupBy("bucket").applyInArrow(lambda t: _subtrees(t, size, prefix), MARKS)
-    return with_marks(first.filter("kind = 1").unionByName(global_marks))
+    suffixes = with_marks(docs, first.filter("kind = 0")).mapInArrow(lean(partial(_suffixes, size=size, prefix=prefix, groups=groups)), ROWS)
+    global_marks = map_groups(suffixes, "bucket", lambda t: _subtrees(t, size, prefix), MARKS)
+    return with_marks(rows, first.filter("kind = 1").unionByName(global_marks))
 
 
-def removed(w: Words, marks: pa.Array, size: int) -> np.ndarray:
+def removed(w: Words, marks: pa.Array, part: np.ndarray, size: int) -> np.ndarray:
     """Per word, whether a marked window covers it."""
     step = np.zeros(len(w) + 1, np.int64)
     d, v = lists(marks)
-    s = w.first[d] + (v >> RUN)
+    s = w.first[d] + (v >> RUN) - part[d]
     end = np.minimum(s + (v & RUN_MOST) + size - 1, w.first[d + 1])
-    ok = s < end
+    ok = (s >= w.first[d]) & (s < end)
     np.add.at(step, s[ok], 1)
     np.add.at(step, end[ok], -1)
     return np.cumsum(step)[:-1] > 0
@@ -332,7 +342,7 @@ def _digest(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     for b in pieces(batches):
         buf, off = flat(column(b, "text"))
         w = split(buf, off)
-        gone = removed(w, column(b, "marks"), size)
+        gone = removed(w, column(b, "marks"), longs(b, "part"), size)
         out, at = join_words(buf, w, ~gone)
         raw = out.tobytes()
         n = np.diff(w.first)
@@ -342,14 +352,14 @@ def _digest(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 def digests(marked: DataFrame, size: int) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
-    return marked.mapInArrow(partial(_digest, size=size), RESULT)
+    return marked.mapInArrow(lean(partial(_digest, size=size)), RESULT)
 
 
 def _spans(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         buf, off = flat(column(b, "text"))
         w = split(buf, off)
-        gone = np.concatenate([[False], removed(w, column(b, "marks"), size), [False]])
+        gone = np.concatenate([[False], removed(w, column(b, "marks"), longs(b, "part"), size), [False]])
         edge = gone[1:] != gone[:-1]
         edge[w.first[:-1]] |= gone[1:][w.first[:-1]] & gone[w.first[:-1]]
         ids, rows = column(b, "id").to_pylist(), []
@@ -364,38 +374,55 @@ def _spans(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 
 def repeat_spans(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_word, n_words): the maximal repeated stretches that removal takes out."""
-    return repeat_marks(df, size, id_col, text_col).mapInArrow(partial(_spans, size=size), "doc_id long, first_word long, n_words long")
+    return marked_rows(df, size, id_col, text_col).mapInArrow(lean(partial(_spans, size=size)), "doc_id long, first_word long, n_words long")
+
+
+def kept_bytes(b: pa.RecordBatch, size: int) -> tuple[np.ndarray, list[str]]:
+    """Which rows lose words, and every row's text."""
+    buf, off = flat(column(b, "text"))
+    w = split(buf, off)
+    gone = removed(w, column(b, "marks"), longs(b, "part"), size)
+    touched = np.bincount(w.doc[gone], minlength=b.num_rows) > 0
+    out, at = join_words(buf, w, ~gone)
+    raw, old = out.tobytes(), column(b, "text").to_pylist()
+    return touched, [raw[at[i] : at[i + 1]].decode() if t else old[i] for i, t in enumerate(touched.tolist())]
 
 
 def _kept(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
-        buf, off = flat(column(b, "text"))
-        w = split(buf, off)
-        gone = removed(w, column(b, "marks"), size)
-        touched = np.bincount(w.doc[gone], minlength=b.num_rows) > 0
-        out, at = join_words(buf, w, ~gone)
-        raw, old = out.tobytes(), column(b, "text").to_pylist()
-        text = [raw[at[i] : at[i + 1]].decode() if t else old[i] for i, t in enumerate(touched.tolist())]
-        yield pa.record_batch([column(b, "id"), pa.array(text, pa.string())], names=["id", "text"])
+        yield pa.record_batch([column(b, "id"), pa.array(kept_bytes(b, size)[1], pa.string())], names=["id", "text"])
 
 
 def kept_texts(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text): texts without their repeated stretches; texts that have none are unchanged."""
-    return repeat_marks(df, size, id_col, text_col).mapInArrow(partial(_kept, size=size), "id long, text string")
+    return marked_rows(df, size, id_col, text_col).mapInArrow(lean(partial(_kept, size=size)), "id long, text string")
+
+
+def _kept_rows(batches: Iterator[pa.RecordBatch], size: int, text_at: int) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
+        touched, text = kept_bytes(b, size)
+        row = column(b, "row")
+        cols = [pa.array(text, pa.string()) if i == text_at else c for i, c in enumerate(row.flatten())]
+        yield pa.record_batch([*cols, pa.array(touched)], names=[str(i) for i in range(len(cols))] + ["touched"])
 
 
 def without_repeats(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """df with the texts that remain; chars_col, where df has it, follows texts that change. Other columns are kept as they are.
 
-    Only texts that change are joined back to the rows; a row whose id is null keeps its text.
+    A row whose id is null keeps its text.
     """
-    marked = repeat_marks(df, size, id_col, text_col).filter("marks is not null")
-    new = marked.mapInArrow(partial(_kept, size=size), "id long, text string").dropDuplicates(["id"]).select(F.col("id").alias("_new_id"), F.col("text").alias("_new_text"))
-    joined = df.join(new, F.col(f"`{id_col}`") == F.col("_new_id"), "left")
-    text = F.coalesce(F.col("_new_text"), F.col(f"`{text_col}`"))
-    out = {text_col: text} | ({chars_col: F.when(F.col("_new_text").isNotNull(), F.length("_new_text")).otherwise(F.col(f"`{chars_col}`"))} if chars_col in df.columns else {})
-    return joined.select(*[out[c].cast(df.schema[c].dataType).alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
+    text_at = df.columns.index(text_col)
+    schema = StructType([StructField(str(i), StringType() if i == text_at else f.dataType) for i, f in enumerate(df.schema)]).add("touched", "boolean")
+    new = marked_rows(df, size, id_col, text_col, whole=True).mapInArrow(lean(partial(_kept_rows, size=size, text_at=text_at)), schema)
+
+    def out(i: int, name: str) -> Column:
+        c = F.col(f"`{i}`")
+        if name == chars_col:
+            c = F.when(F.col("touched"), F.length(F.col(f"`{text_at}`"))).otherwise(c)
+        return c.cast(df.schema[i].dataType).alias(name)
+
+    return new.select(*[out(i, c) for i, c in enumerate(df.columns)])
 
 
 def substring_dedup(df: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return digests(repeat_marks(df, size, id_col, text_col), size)
+    return digests(marked_rows(df, size, id_col, text_col), size)

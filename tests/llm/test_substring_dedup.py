@@ -56,7 +56,7 @@ def test_stages_without_spark(hot, monkeypatch):
 
     monkeypatch.setattr(sd, "HOT", hot)
     rows, size, groups = [r for r in made(7, 60) if r[0] is not None], 13, 3
-    batches = [pa.record_batch({"id": pa.array([i]), "text": pa.array([t], pa.string())}) for i, t in rows]
+    batches = [pa.record_batch({"id": pa.array([i]), "text": pa.array([t], pa.string()), "part": pa.array([0], pa.int64())}) for i, t in rows]
 
     def grouped(parts, f):
         t = pa.Table.from_batches(parts)
@@ -88,3 +88,14 @@ def test_spans_and_texts(spark):
     whole = sd.without_repeats(df.selectExpr("doc_id", "text", "length(text) AS n_chars", "null AS marks", "7 AS id"), 13)
     assert whole.columns == ["doc_id", "text", "n_chars", "marks", "id"]
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in whole.collect()} == {1: (rows[0][1], len(rows[0][1])), 2: ("e", 1), 3: ("x y", 3), 4: ("left\n alone", 11)}
+
+
+def test_repeated_and_null_ids_and_clashing_names(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, f"{a} {b}"), (5, f"{b} {c}"), (5, None), (7, f"{c} x {a}"), (7, "own words"), (None, f"{a} {c}"), (None, a), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars", "doc_id AS id", "1 AS part", "2 AS marks", "3 AS row", "4 AS `_new_id`", "5 AS touched")
+    got = sd.without_repeats(df, 13)
+    assert got.columns == df.columns
+    want = [(5, rows[0][1]), (5, rows[1][1]), (5, None), (7, "x"), (7, "own words"), (None, rows[5][1]), (None, a), (9, "")]
+    assert sorted(((r["doc_id"] or -1), r["text"] or "") for r in got.collect()) == sorted(((i or -1), t or "") for i, t in want)
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in sd.substring_dedup(df, 13).collect() if r["doc_id"] == 7} == {(7, 61, 60), (7, 2, 0)}
