@@ -5,8 +5,9 @@ chunk's bytes move once to verify that its digest names only those bytes; a docu
 identifiers, and only these lists are compared, so long texts are not moved again.
 
 Null texts count as empty; empty texts equal each other. Repeated rows are rows of one group. A row whose id is null is
-never a keeper unless all ids of its group are null. Empty tables give empty results. Columns other than id and text are
-not read.
+never a keeper unless all ids of its group are null. Of rows with the keeper's id and text exact_dedup calls each kept;
+drop_copies leaves one of them. Rows of one id and different texts are different documents. Empty tables give empty
+results. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import column, flat, pieces, save, ship, two_columns
+from gneiss.llm.common import column, flat, lean, pieces, save, ship, two_columns, with_row_key
 from gneiss.llm.text import M1, squeeze, words64
 
 #: Chunks: 2 KiB on average (as many bits of the window hash are zero), 64 KiB at most.
@@ -54,6 +55,7 @@ def _recipes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         ends = np.cumsum(count).tolist()
         yield pa.record_batch(
             {
+                **({"key": column(b, "key")} if "key" in b.schema.names else {}),
                 "id": column(b, "id"),
                 "recipe": pa.array([b"".join(ids[e - c : e]) for c, e in zip(count.tolist(), ends, strict=True)], pa.binary()),
                 "sha": pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string()),
@@ -74,34 +76,45 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 def chunk_table(docs: DataFrame, size: int) -> DataFrame:
     """One row per digest: the least and the greatest of the byte strings it names (equal when verified)."""
-    made = docs.mapInArrow(partial(_chunks, size=size), "digest binary, bytes binary")
+    made = docs.mapInArrow(lean(partial(_chunks, size=size)), "digest binary, bytes binary")
     return made.groupBy("digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
 
 
-def recipes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_size: int = 16) -> DataFrame:
-    """(id, recipe, sha): each text as the concatenated verified identifiers of its chunks, and its normalised SHA-256.
+def recipes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_size: int = 16, key_col: str | None = None) -> DataFrame:
+    """([key,] id, recipe, sha): each text as the concatenated verified identifiers of its chunks, and its normalised SHA-256.
 
     If any digest names two byte strings, identifiers of twice the width are taken and verified again.
     """
     ship(df.sparkSession)
-    docs = two_columns(df, id_col, text_col)
+    docs = two_columns(df, id_col, text_col, key_col)
     while chunk_table(docs, digest_size).filter("lo <> hi").limit(1).count():
         if digest_size >= 64:
             raise RuntimeError("two chunks share a 512-bit digest")
         digest_size = min(64, 2 * digest_size)
-    return save(docs.mapInArrow(partial(_recipes, size=digest_size), "id long, recipe binary, sha string"), "recipes")
+    return save(docs.mapInArrow(lean(partial(_recipes, size=digest_size)), ("key long, " if key_col else "") + "id long, recipe binary, sha string"), "recipes")
+
+
+def copy_groups(r: DataFrame, *more) -> DataFrame:
+    """One row per recipe that several rows have: its least id, its size and what else is asked for.
+
+    It is written, so that both sides of a join with it come from files: a recipe with very many rows can then be split.
+    """
+    return save(r.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), *more).filter("group_size > 1"), "groups")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_size: int = 16) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. The smallest id of a group stays."""
     r = recipes(df, id_col, text_col, digest_size)
-    groups = r.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return r.join(groups, "recipe").select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    found = r.join(copy_groups(r).hint("merge"), "recipe", "left")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
+    return found.select(F.col("id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the rows that are copies; of equal texts the smallest id stays."""
-    gone = exact_dedup(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The input without the rows that are copies; of equal texts one row with the smallest id stays."""
+    keyed, key = with_row_key(df, id_col)
+    r = recipes(keyed, id_col, text_col, key_col=key)
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).getField("key").alias("first_key")
+    gone = r.join(copy_groups(r, first).hint("merge"), "recipe").filter("key <> first_key").select(F.col("key").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

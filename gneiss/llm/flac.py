@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gneiss.llm.common import column, flat, pieces, ship, two_columns
+from gneiss.llm.common import column, flat, lean, pieces, ship, two_columns
 
 BLOCK, RATE, LPC_ORDER, PRECISION = 1024, 8000, 4, 12
 #: Payload bytes that are coded at a time in one worker.
@@ -505,7 +505,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text's padded UTF-8 bytes as 8-bit samples (byte - 128) of a FLAC stream."""
     ship(df.sparkSession)
-    return two_columns(df, id_col, text_col).mapInArrow(_encode, "id long, n_bytes long, media binary")
+    return two_columns(df, id_col, text_col).mapInArrow(lean(_encode), "id long, n_bytes long, media binary")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +521,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """(id, block, sample_offset, n_samples, pcm): decoded 16-bit little-endian blocks; media has (id, media), not null."""
     ship(media.sparkSession)
-    return media.select("id", "media").mapInArrow(_blocks, "id long, block int, sample_offset long, n_samples int, pcm binary")
+    return media.select("id", "media").mapInArrow(lean(_blocks), "id long, block int, sample_offset long, n_samples int, pcm binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -543,4 +543,4 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_features(media: DataFrame) -> DataFrame:
     """Decodes and verifies each stored stream and returns digests and features of what was read back."""
     ship(media.sparkSession)
-    return media.mapInArrow(_features, FEATURES)
+    return media.mapInArrow(lean(_features), FEATURES)

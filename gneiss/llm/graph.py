@@ -22,11 +22,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _digest(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = save(e.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*").filter("u <> v").distinct(), "edges")
+        e = _relink(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), True)
+        e = _relink(e, e.groupBy("u").agg(F.min("v").alias("m")), False)
         now = _digest(e)
         if now == seen:
             return e.select(F.col("u").alias("v"), F.col("v").alias("label"))
         seen = now
+
+
+def _relink(e: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """A large-star or small-star step. The least neighbours are written, so that both sides of the join are plain
+    exchanges and a vertex with very many edges can be split over tasks."""
+    joined = e.join(save(least, "least").hint("merge"), "u")
+    if large:
+        new = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        new = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*")
+    return save(new.filter("u <> v").distinct(), "edges")

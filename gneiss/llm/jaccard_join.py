@@ -19,7 +19,8 @@ sets of a size band (and the band below) join on (block, XOR). Some spare blocks
 
 Words are lower-cased (A-Z) runs of bytes other than white space. Fewer words than a shingle: the whole sequence is the
 set's one member. Null texts and texts without words have empty sets and link with nothing. Shingles are compared by
-64-bit hashes. Rows whose id is null get n_shingles and no component. Rows that share an id should be equal.
+64-bit hashes. Rows whose id is null get n_shingles and no component, and link with nothing. Rows that share an id are
+documents of their own. Empty tables give empty results; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import buckets, column, flat, longs, pieces, save, ship, two_columns
+from gneiss.llm.common import buckets, column, flat, ids_repeat, lean, longs, map_groups, pieces, save, ship, two_columns, with_row_key
 from gneiss.llm.graph import connected_components
 from gneiss.llm.substring_dedup import _KEY48, _bucket, lists, pack, unpack
 from gneiss.llm.text import LOWER, M1, M3, mix, span_hashes, split, window_hashes
@@ -198,9 +199,9 @@ def _distinct_pairs(group: pa.Table) -> pa.Table:
 
 def candidate_pairs(docs: DataFrame, k: int, percent: int, groups: int) -> DataFrame:
     """(u, v): documents that share a sketch block with the least document of that block."""
-    keys = docs.mapInArrow(partial(_key_rows, k=k, percent=percent, groups=groups), ROWS)
-    packed = keys.groupBy("bucket").applyInArrow(lambda t: _pairs_of_keys(t, groups), ROWS)
-    return packed.groupBy("bucket").applyInArrow(lambda t: _distinct_pairs(t), "u long, v long")
+    keys = docs.mapInArrow(lean(partial(_key_rows, k=k, percent=percent, groups=groups)), ROWS)
+    packed = map_groups(keys, "bucket", lambda t: _pairs_of_keys(t, groups), ROWS)
+    return map_groups(packed, "bucket", lambda t: _distinct_pairs(t), "u long, v long")
 
 
 # ---------------------------------------------------------------- folded sketches
@@ -305,7 +306,7 @@ def sketch_links(pairs: DataFrame, sets: DataFrame, percent: int, groups: int, c
 
     def run(sent: DataFrame) -> DataFrame:
         full = sent.join(sets.select("id", "n", "sketch").hint("merge"), "id").withColumn("bucket", F.pmod(F.xxhash64("star", "cell"), F.lit(groups)))
-        return save(full.groupBy("bucket").applyInArrow(lambda t: _near_in_cells(t, percent), "kind int, u long, v long"), "near")
+        return save(map_groups(full, "bucket", lambda t: _near_in_cells(t, percent), "kind int, u long, v long"), "near")
 
     first = run(split.drop("cells").unionByName(leads))
     links = first.filter("kind = 0").select("u", "v")
@@ -403,8 +404,8 @@ def _verify(group: pa.Table, percent: int) -> pa.Table:
 def _run_cells(docs: DataFrame, sent: DataFrame, k: int, percent: int) -> DataFrame:
     """sent (id, cell, role) -> what the cells found, saved."""
     to = sent.groupBy(F.col("id").alias("key")).agg(F.collect_list("cell").alias("cells"), F.collect_list("role").alias("roles"))
-    shipped = docs.join(to.hint("merge"), F.col("id") == F.col("key")).select("id", "text", "cells", "roles").mapInArrow(partial(_ship, k=k), SHIPPED)
-    return save(shipped.groupBy("cell").applyInArrow(lambda t: _verify(t, percent), "kind int, u long, v long"), "links")
+    shipped = docs.join(to.hint("merge"), F.col("id") == F.col("key")).select("id", "text", "cells", "roles").mapInArrow(lean(partial(_ship, k=k)), SHIPPED)
+    return save(map_groups(shipped, "cell", lambda t: _verify(t, percent), "kind int, u long, v long"), "links")
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, cell_size: int = CELL) -> DataFrame:
@@ -430,26 +431,50 @@ def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, cell
     return links
 
 
-def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links, itself included)."""
-    ship(df.sparkSession)
-    docs = two_columns(df, id_col, text_col)
-    groups = buckets(df, GROUP_MB)
-    sets = save(docs.mapInArrow(partial(_digest_rows, k=k), "id long, n long, set long, sketch binary"), "sets")
+def _linked(docs: DataFrame, groups: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs (id, text; ids that are not null are unique) -> every row's (id, n), and (key, component) of ids with sets."""
+    sets = save(docs.mapInArrow(lean(partial(_digest_rows, k=k)), "id long, n long, set long, sketch binary"), "sets")
     known = docs.filter("id is not null")
-    reps = save(sets.filter("n > 0 and id is not null").groupBy("n", "set").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    of = save(sets.filter("n > 0 and id is not null").join(reps.drop("sketch"), ["n", "set"]).select("id", "rep").distinct(), "reps")
+    some = sets.filter("n > 0 and id is not null")
+    reps = save(some.groupBy("n", "set").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    of = save(some.join(reps.drop("sketch").hint("merge"), ["n", "set"]).select("id", "rep"), "reps")
     pairs = candidate_pairs(known, k, percent, groups)
     pairs = pairs.join(of.select(F.col("id").alias("u"), F.col("rep").alias("ru")), "u").join(of.select(F.col("id").alias("v"), F.col("rep").alias("rv")), "v")
     near = sketch_links(pairs.select(F.col("ru").alias("u"), F.col("rv").alias("v")), reps.withColumnRenamed("rep", "id"), percent, groups)
-    links = verified_links(known, near, k, percent)
-    label = connected_components(links)
+    label = connected_components(verified_links(known, near, k, percent))
     out = of.join(label, of["rep"] == label["v"], "left").select(F.col("id").alias("key"), F.coalesce("label", "rep").alias("component"))
-    out = out.groupBy("key").agg(F.min("component").alias("component"))
-    return sets.join(out, F.col("id") == F.col("key"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return sets.select("id", "n"), out
+
+
+def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links, itself included).
+
+    Where an id occurs in several rows, each row is a document of its own.
+    """
+    ship(df.sparkSession)
+    groups = buckets(df, GROUP_MB)
+    if not ids_repeat(df, id_col):
+        sets, out = _linked(two_columns(df, id_col, text_col), groups, k, percent)
+        return sets.join(out, F.col("id") == F.col("key"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    keyed, key = with_row_key(df, id_col)
+    rows = two_columns(keyed, id_col, text_col, key).withColumn("own", F.when(F.col("id").isNotNull(), F.col("key")))
+    sets, out = _linked(rows.select(F.col("own").alias("id"), "text"), groups, k, percent)
+    part = save(rows.filter("own is not null").select("id", "own").join(out, F.col("own") == F.col("key")).select("id", "own", "component"), "parts")
+    least = part.groupBy("component").agg(F.min("id").alias("component_id"))
+    part = part.join(least, "component").select("own", "component_id")
+    n = sets.filter("id is not null").select(F.col("id").alias("own"), "n")
+    known = rows.filter("own is not null").select("id", "own").join(n, "own").join(part, "own", "left")
+    lost = sets.filter("id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return known.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")).unionByName(lost)
 
 
 def drop_near_copies(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with one document, the least id, of each component."""
-    gone = jaccard_components(df, k, percent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The input with one row, one with the least id, of each component; rows whose id is null stay."""
+    keyed, key = with_row_key(df, id_col)
+    ship(df.sparkSession)
+    rows = two_columns(keyed, id_col, text_col, key).filter("id is not null")
+    _, out = _linked(rows.select(F.col("key").alias("id"), "text"), buckets(df, GROUP_MB), k, percent)
+    part = save(rows.select("id", F.col("key").alias("own")).join(out, F.col("own") == F.col("key")).select("id", "own", "component"), "parts")
+    first = save(part.groupBy("component").agg(F.min(F.struct("id", "own")).getField("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "firsts")
+    gone = part.join(first.hint("merge"), "component").filter("own <> first").select(F.col("own").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

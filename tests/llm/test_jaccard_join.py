@@ -99,6 +99,17 @@ def test_edge_cases(spark):
     assert [r["doc_id"] for r in jj.drop_near_copies(df.filter("doc_id > 0").distinct()).collect()] == [1]
 
 
+def test_repeated_ids_are_documents_of_their_own(spark):
+    base = " ".join(f"w{x}" for x in range(40))
+    rows = [(4, base), (4, "quite another text of six words"), (6, base + " end"), (6, base + " end"), (2, "quite another text of six words"), (None, base), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `_gone`", "2 AS row_key", "3 AS component")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jj.jaccard_components(df, 4, 85).collect())
+    assert got == [(-1, 37, -1), (2, 3, 2), (4, 3, 2), (4, 37, 4), (6, 38, 4), (6, 38, 4), (9, 0, 9)]
+    kept = jj.drop_near_copies(df, 4, 85)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted([(-1, base), (2, rows[4][1]), (4, base), (9, "")])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (50, 60), (60, 50)], "u long, v long")
     assert {r["v"]: r["label"] for r in connected_components(edges).collect()} == {i: 0 for i in range(1, 41)} | {60: 50}

@@ -170,3 +170,41 @@ def test_packing(spark):
         assert (s.offset.values == np.concatenate([[0], np.cumsum(s.length)[:-1]])).all() and s.length.sum() <= 4096
     assert got.sequence_id.nunique() == len(plain_best_fit(got.length.tolist(), 4096))
     assert packing.pack_documents(docs(spark, []), path).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "x y"), (2, "x  y"), (2, "other text"), (None, "x y"), (None, "alone"), (1, "x y"), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `_gone`", "2 AS row_key", "3 AS first_key")
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or -1), r["text"] or "") for r in kept.collect()) == [(-1, "alone"), (1, "x y"), (2, "other text"), (3, "")]
+    got = exact_dedup.exact_dedup(df).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in got) == [(-1, -1, 1, True), (-1, 1, 4, False), (1, 1, 4, True), (1, 1, 4, True), (2, 1, 4, False), (2, 2, 1, True), (3, 3, 2, True), (3, 3, 2, True)]
+    packed = packing.pack_documents(df, tokenizer_path("word_bpe_49k.json")).toPandas()
+    assert len(packed) == len(rows) and packed.sequence_id.nunique() == 1
+
+
+def test_word_memo_starts_anew(monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(40)) + " It's  42!" for _ in range(30)]
+    t = packing.WordTokenizer(path)
+    monkeypatch.setattr(packing, "MEMO", 100)
+    monkeypatch.setattr(packing, "SLICE", 7)
+    for x in texts:
+        raw = np.frombuffer(x.encode(), np.uint8)
+        assert t.encode(raw, np.array([0, len(raw)]))[0].tolist() == t.t.encode(x, add_special_tokens=False).ids
+        assert len(t.known) <= 100 and (np.diff(t.known.astype(object)) > 0).all()
+
+
+def test_many_items_of_a_length_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 10)
+    monkeypatch.setattr(packing, "SALTS", 4)
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 50), 0, 0, int(n), int(i)) for i, n in enumerate(rng.choice([3, 3, 3, 5, 7, 20], 400))]
+    got = packing.pack(spark.createDataFrame(rows, "id long, piece int, start long, length long, crc long"), 20).toPandas()
+    assert sorted(got.ids_crc32) == list(range(400))
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.values == np.concatenate([[0], np.cumsum(s.length)[:-1]])).all() and s.length.sum() <= 20
+    assert got.sequence_id.nunique() == len(plain_best_fit([r[3] for r in rows], 20))
