@@ -299,7 +299,7 @@ def _near_in_cells(group: pa.Table, percent: int) -> pa.Table:
 def sketch_links(pairs: DataFrame, sets: DataFrame, percent: int, groups: int, cell_size: int = SKETCH_CELL) -> DataFrame:
     """Stars (u, v) and sets (id, n, sketch) -> pairs (u, v) within the bound that connect all such pairs of a star."""
     star = save(pairs.filter("u <> v").select("u", "v").distinct(), "stars")
-    sizes = star.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / cell_size).cast("int").alias("cells"))
+    sizes = save(star.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / cell_size).cast("int").alias("cells")), "star-sizes")  # a large star's rows can then be split
     cells = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     leads = sizes.select(F.col("u").alias("id"), F.col("u").alias("star"), cells.alias("cell"), F.lit(LEADER).alias("role"))
     split = star.join(sizes.hint("merge"), "u").select(F.col("v").alias("id"), F.col("u").alias("star"), F.pmod(F.xxhash64("v"), F.col("cells")).cast("int").alias("cell"), F.lit(MEMBER).alias("role"), "cells")
