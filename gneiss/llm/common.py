@@ -198,6 +198,19 @@ def pieces(batches: Iterator[pa.RecordBatch], col: str = "text", limit: int = CH
             lo = hi
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, col: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches put together until their text reaches limit bytes, and cut where it exceeds them."""
+    own, size = [], 0
+    for b in pieces(batches, col, limit):
+        n = int(flat(column(b, col))[1][-1])
+        if own and size + n > limit:
+            yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            own, size = [], 0
+        own, size = [*own, b], size + n
+    if own:
+        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+
+
 def column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 

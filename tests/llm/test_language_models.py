@@ -19,33 +19,45 @@ def tokens(t):
     return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + ["</s>"]
 
 
-def brute(rows):
+def brute(rows, min_context):
+    """The trigram model with dictionaries."""
     train = [tokens(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    grams = lambda s: zip(["<s>", "<s>", *s[:-2]] if len(s) > 1 else ["<s>"], ["<s>", *s[:-1]], s, strict=True)
     uni = collections.Counter(w for s in train for w in s)
-    pair = collections.Counter(p for s in train for p in zip(["<s>", *s[:-1]], s, strict=True))
+    tri = collections.Counter(g for s in train for g in grams(s))
     n, v = sum(uni.values()), len(uni)
-    cont = collections.Counter(b for _, b in pair)
-    total = collections.Counter()
-    seen = collections.defaultdict(collections.Counter)
-    for (a, _), c in pair.items():
-        total[a] += c
-        seen[a][min(c, 3)] += 1
-    d2 = kn.discounts([sum(c == i for c in pair.values()) for i in range(1, 5)])
-    d1 = kn.discounts([sum(c == i for c in cont.values()) for i in range(1, 5)])
-    rest = sum(d1[min(c, 3) - 1] for c in cont.values())
+    pair = collections.Counter((b, c) for _, b, c in tri)
+    word = collections.Counter(c for _, c in pair)
+
+    def kinds(counts, key):
+        total, seen = collections.Counter(), collections.defaultdict(collections.Counter)
+        for g, c in counts.items():
+            total[key(g)] += c
+            seen[key(g)][min(c, 3)] += 1
+        return total, seen
+
+    d3, d2, d1 = (kn.discounts([sum(c == i for c in x.values()) for i in range(1, 5)]) for x in (tri, pair, word))
+    t3, s3 = kinds(tri, lambda g: g[:2])
+    t2, s2 = kinds(pair, lambda g: g[0])
+    rest = sum(d1[min(c, 3) - 1] for c in word.values())
+    cut = lambda c, d: c - d[min(c, 3) - 1] if c else 0
+
+    def prob(a, b, c):
+        p = (cut(word[c], d1) + rest / (v + 1)) / len(pair) if pair else 1.0
+        if t2[b]:
+            p = (cut(pair[b, c], d2) + sum(d2[k - 1] * m for k, m in s2[b].items()) * p) / t2[b]
+        if t3[a, b] >= min_context:
+            p = (cut(tri[a, b, c], d3) + sum(d3[k - 1] * m for k, m in s3[a, b].items()) * p) / t3[a, b]
+        return p
+
     out = {}
     for i, t in rows:
         s = tokens(t)
-        base = model = 0.0
-        for a, b in zip(["<s>", *s[:-1]], s, strict=True):
-            base += math.log10((uni[b] + 0.1) / (n + 0.1 * (v + 1)))
-            low = ((cont[b] - d1[min(cont[b], 3) - 1] if cont[b] else 0) + rest / (v + 1)) / max(1, len(pair)) if pair else 1
-            p = low
-            if total[a]:
-                c = pair[a, b]
-                p = ((c - d2[min(c, 3) - 1] if c else 0) + sum(d2[k - 1] * m for k, m in seen[a].items()) * low) / total[a]
-            model += math.log10(p)
-        out[i] = (len(s), sum(uni[w] > 0 for w in s), n, base, model)
+        base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s)
+        out[i] = (len(s), sum(uni[w] > 0 for w in s), n, base, sum(math.log10(prob(*g)) for g in grams(s)))
+    for a, b in [("<s>", "<s>"), *list(t3)[:5], ("zzz", "w1"), ("zzz", "qqq")]:
+        if pair:
+            assert math.isclose(sum(prob(a, b, c) for c in [*uni, "unknown word"]), 1.0, rel_tol=1e-9)
     return out
 
 
@@ -55,17 +67,31 @@ def made():
     return [*rows, (500, None), (501, ""), (502, "zzz qqq"), (503, "w1 " * 4000), (None, "w2 w3")]
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize(("min_context", "groups"), [(1, 8), (2, 8), (2, 40)])
+def test_scores_equal_brute_force(spark, min_context, groups, monkeypatch):
+    """40 groups: frequent words and the begin token are split over several."""
     rows = made()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS held_out").repartition(3)
-    want = brute(rows)
-    for r in kn.score(df).collect():
+    want = brute(rows, min_context)
+    monkeypatch.setattr(kn, "buckets", lambda *a: groups)
+    split = kn.split_words(df.selectExpr("doc_id AS id", "text"), 40)
+    assert len(split.words) > 3 and kn.BEGIN in split.words.tolist() and len(split.common) > 20
+    for r in kn.score(df, min_context=min_context).collect():
         n, known, train, base, model = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, train)
         assert math.isclose(r["base_score"], base, abs_tol=1e-9, rel_tol=1e-9) and math.isclose(r["score"], model, abs_tol=1e-9, rel_tol=1e-9)
     assert kn.score(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_count_each(spark):
+    rows = [(1, "a b c a b"), (1, "a b c a b"), (1, "c c"), (2, "a b c"), (2, "a b c"), (None, "a b c")]
+    got = sorted(((r["doc_id"] or -1), r["n_tokens"], r["train_tokens"], round(r["score"], 9)) for r in kn.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    train = sum(len(tokens(t)) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10)
+    assert len(got) == len(rows) and {r[2] for r in got} == {train} and got[1:] == sorted(got[1:])
+    one = kn.score(spark.createDataFrame(rows * 2, "doc_id long, text string")).first()
+    assert one["train_tokens"] == 2 * train
+
+
 def test_counts_beyond_a_byte():
     few, many = kn.small_counts(np.array([1, 255, 3, 254, 10**6]))
     assert few.tolist() == [1, 255, 3, 254, 255] and many.tolist() == [[1, 255], [4, 10**6]]
