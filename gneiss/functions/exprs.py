@@ -28,6 +28,33 @@ def wrap(c: Column, bits: int) -> Column:
     return ((c.cast("bigint") + half).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) - half).cast(_TYPES[bits])
 
 
+def wrap_unsigned(c: Column, bits: int) -> Column:
+    """An exact integer reduced modulo 2^bits; 64 bits give decimal(20,0)."""
+    if bits == 64:
+        return F.pmod(c.cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+    return c.cast("bigint").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast(_TYPES[2 * bits])
+
+
+def unsigned(op: str, a: Column, b: Column, bits: int) -> Column:
+    """+, - or * of unsigned integers (kept in the next wider type), with wrap."""
+    x, y = (c.cast("decimal(20,0)" if bits >= 32 else "bigint") for c in (a, b))
+    return wrap_unsigned({"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y}[op](), bits)
+
+
+def truth(c: Column) -> Column:
+    """Whether a number is not zero; NaN is true."""
+    return F.isnan(c) | (c != 0)
+
+
+def logical_xor(a: Column, b: Column) -> Column:
+    return truth(a) != truth(b)
+
+
+def product(x: Column) -> Column:
+    """The product of a group as a double; 1 of an empty one."""
+    return F.coalesce(F.product(x.cast("double")), F.lit(1.0))
+
+
 def _exact(c: Column, bits: int) -> Column:
     return c.cast("decimal(38,0)") if bits == 64 else c.cast("bigint")
 
@@ -183,11 +210,3 @@ def arg_extreme(x: Column, index: Column, largest: bool = False) -> Column:
 def variance(x: Column, ddof: int = 0) -> Column:
     n = F.count(x)
     return F.var_pop(x) if ddof == 0 else F.when(n > ddof, F.var_pop(x) * n / F.when(n > ddof, n - ddof).otherwise(1))
-
-
-def quantile(x: Column, q: float) -> Column:
-    return F.when(F.bool_or(F.isnan(x)), F.lit(NAN)).otherwise(F.percentile(x, q))
-
-
-def weighted_mean(x: Column, w: Column) -> Column:
-    return F.sum(w * x) / F.sum(w)

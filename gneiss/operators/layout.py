@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.errors import ShapeError
-from gneiss.meta import infer_shape, normalize_axis, strides
+from gneiss.meta import broadcast_shape, infer_shape, normalize_axis, strides
 from gneiss.sources.arrays import grid
 
 
@@ -78,6 +78,59 @@ def split(df: DataFrame, n: int, sections: int, axis: int = 0) -> DataFrame:
     return df.withColumn("part", F.floor(c / w).cast("bigint")).withColumn(f"i{axis}", c % w)
 
 
+def split_at(df: DataFrame, n: int, cuts: list[int], axis: int = 0) -> DataFrame:
+    """Sections that begin at 0 and at each cut, as a part column."""
+    starts = [0, *sorted(max(0, min(n, c if c >= 0 else c + n)) for c in cuts)]
+    c = F.col(f"i{axis}")
+    part, base = F.lit(0), F.lit(0)
+    for k, lo in enumerate(starts[1:], 1):
+        part, base = F.when(c >= lo, k).otherwise(part), F.when(c >= lo, lo).otherwise(base)
+    return df.withColumn("part", part.cast("bigint")).withColumn(f"i{axis}", (c - base).cast("bigint"))
+
+
+def array_split(df: DataFrame, n: int, sections: int, axis: int = 0) -> DataFrame:
+    """Sections of nearly equal size: the first n % sections have one more."""
+    size, more = divmod(n, sections)
+    ends = [k * size + min(k, more) for k in range(1, sections)]
+    return split_at(df, n, ends, axis)
+
+
+def swapaxes(df: DataFrame, rank: int, a: int, b: int) -> DataFrame:
+    axes = list(range(rank))
+    a, b = normalize_axis(a, rank), normalize_axis(b, rank)
+    axes[a], axes[b] = axes[b], axes[a]
+    return transpose(df, rank, tuple(axes))
+
+
+def moveaxis(df: DataFrame, rank: int, source: int, target: int) -> DataFrame:
+    axes = [k for k in range(rank) if k != normalize_axis(source, rank)]
+    axes.insert(normalize_axis(target, rank), normalize_axis(source, rank))
+    return transpose(df, rank, tuple(axes))
+
+
+def broadcast_to(df: DataFrame, shape: tuple[int, ...], new: tuple[int, ...]) -> DataFrame:
+    """Axes of one element, and new leading ones, are repeated to the new shape."""
+    if broadcast_shape(shape, new) != tuple(new):
+        raise ShapeError(f"shape {shape} does not broadcast to {new}")
+    lead = len(new) - len(shape)
+    d = df.select(*[F.lit(0).cast("bigint").alias(f"i{k}") for k in range(lead)], *[F.col(f"i{k}").alias(f"i{k + lead}") for k in range(len(shape))], "v")
+    for k, n in enumerate(new):
+        if k < lead or shape[k - lead] != n:
+            d = d.withColumn(f"i{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    return d
+
+
+def flip_all(df: DataFrame, shape: tuple[int, ...]) -> DataFrame:
+    """All axes reversed."""
+    return reduce(lambda d, k: flip(d, shape[k], k), range(len(shape)), df)
+
+
+def roll_all(df: DataFrame, shape: tuple[int, ...], shift: int) -> DataFrame:
+    """The flattened elements shifted round, in the same shape."""
+    flat = roll(ravel(df, shape), reduce(lambda a, b: a * b, shape, 1), shift, 0)
+    return reshape(flat, (reduce(lambda a, b: a * b, shape, 1),), shape)
+
+
 def repeat(df: DataFrame, count: int, axis: int = 0) -> DataFrame:
     return df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn(f"i{axis}", F.col(f"i{axis}") * count + F.col("_r")).drop("_r")
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from gneiss.errors import ModelError
 from gneiss.functions.exprs import INF
 from gneiss.operators.linalg import solve_normal, squared_distance
-from gneiss.operators.ordering import shuffled_rank
+from gneiss.operators.ordering import cumulative, ranks, shuffled_rank
 
-#: Rows that a sequential learner takes.
-SERIAL_ROWS = 2_000_000
+#: Rows that a sequential learner takes, and query rows that are broadcast at a time.
+SERIAL_ROWS, QUERY_ROWS = 2_000_000, 100_000
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,10 +29,43 @@ def min_max_scale(df: DataFrame, columns: list[str], low: float = 0.0, high: flo
     return df.select("*", *[(F.lit(low) + (F.col(c) - F.lit(s[c][0])) * F.lit((high - low) / ((s[c][1] - s[c][0]) or 1.0))).alias(f"{c}_scaled") for c in columns])
 
 
+def label_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): ascending classes as 0, 1, ...; distinct values are ranked by ranges."""
+    return ranks(df.select(F.col(column).alias("value")).distinct(), [], [F.col("value")], "code")
+
+
 def label_encode(df: DataFrame, column: str) -> DataFrame:
-    """Ascending classes as 0, 1, ...; only distinct values are ranked."""
-    codes = df.select(column).distinct().withColumn("code", (F.dense_rank().over(Window.orderBy(column)) - 1).cast("bigint"))
-    return df.join(codes, column)
+    """The input with each value's code."""
+    return df.join(label_codes(df, column).select(F.col("value").alias("_value"), "code"), F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
+
+
+def label_decode(df: DataFrame, code: str, codes: DataFrame) -> DataFrame:
+    """The input with the value of each code; a code that codes does not have is an error."""
+    d = df.join(codes.select(F.col("code").alias("_code"), F.col("value"), F.lit(True).alias("_known")), F.col(code) == F.col("_code"), "left")
+    return d.withColumn("value", F.when(F.col("_known"), F.col("value")).otherwise(F.raise_error(F.lit("unknown code")))).drop("_code", "_known")
+
+
+class Scaler:
+    """Fitted means and scales (or minima and ranges) of columns, with their inverse."""
+
+    def __init__(self, shift: dict[str, float], scale: dict[str, float]):
+        self.shift, self.scale = shift, scale
+
+    @staticmethod
+    def standard(df: DataFrame, columns: list[str]) -> Scaler:
+        s = df.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in columns]).first()
+        return Scaler({c: s[c][0] for c in columns}, {c: s[c][1] or 1.0 for c in columns})
+
+    @staticmethod
+    def min_max(df: DataFrame, columns: list[str]) -> Scaler:
+        s = df.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in columns]).first()
+        return Scaler({c: s[c][0] for c in columns}, {c: (s[c][1] - s[c][0]) or 1.0 for c in columns})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(self.scale[c]) for c, m in self.shift.items()})
+
+    def inverse(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.col(c) * F.lit(self.scale[c]) + F.lit(m) for c, m in self.shift.items()})
 
 
 def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -102,20 +135,63 @@ def bayes_predict(df: DataFrame, key: str, features: list[str], model: DataFrame
 
 
 def knn_search(train: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(q, idx, d, rank): each stated query's k nearest rows by squared distance, then index; queries is the smaller, broadcast side."""
+    """(q, idx, d, rank): each stated query's k nearest rows by squared distance, then index; at most QUERY_ROWS queries go to every task at a time."""
+    if (n := queries.count()) > QUERY_ROWS:
+        blocks = -(-n // QUERY_ROWS) * 2
+        part = F.pmod(F.xxhash64(key), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [knn_search(train, queries.filter(part == b), key, vector, k) for b in range(blocks)])
     q = queries.select(F.col(key).alias("q"), F.col(vector).alias("_qv"))
     t = train.select(F.col(key).alias("idx"), F.col(vector).alias("_tv"))
     d = t.crossJoin(F.broadcast(q)).select("q", "idx", squared_distance(F.col("_qv"), F.col("_tv")).alias("d"))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "idx"))).filter(F.col("rank") <= k)
 
 
-def decision_stump(df: DataFrame, feature: str, label: str) -> DataFrame:
-    """The threshold with the fewest training errors on 0/1 labels, from running counts of distinct values."""
-    c = df.groupBy(F.col(feature).alias("x")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w, all_rows = Window.orderBy("x"), Window.partitionBy()
-    c = c.select("x", F.lead("x").over(w).alias("nx"), F.sum("p").over(w).alias("lp"), F.sum("n").over(w).alias("ln"), F.sum("p").over(all_rows).alias("tp"), F.sum("n").over(all_rows).alias("tn")).filter("nx is not null")
-    e = F.least("lp", "ln") + F.least(F.col("tp") - F.col("lp"), F.col("tn") - F.col("ln"))
-    return c.select((0.5 * F.col("x") + 0.5 * F.col("nx")).alias("threshold"), e.alias("errors")).orderBy("errors", "threshold").limit(1)
+def decision_stump(df: DataFrame, features: str | list[str], label: str) -> DataFrame:
+    """(feature, threshold, errors, left, right): the split with the fewest training errors on 0/1 labels, and the label of either side.
+
+    Ties go to the first feature, then to the smaller threshold; a side's label is its majority, 0 on a tie. Distinct values
+    of all features are counted together, placed by ranges and summed up by blocks of places. Where no feature varies there
+    is no threshold (null) and both sides have the majority.
+    """
+    features = [features] if isinstance(features, str) else features
+    one = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(c).cast("double").alias("x")) for k, c in enumerate(features)])).alias("s"), F.col(label).cast("int").alias("y"))
+    c = one.groupBy("s.f", "s.x").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    c = ranks(c, ["f"], [F.col("x")], "at")
+    c = cumulative(cumulative(c, "at", "p", "lp", lane=["f"]), "at", "n", "ln", lane=["f"])
+    following = c.select("f", (F.col("at") - 1).alias("at"), F.col("x").alias("nx"))
+    tp, tn = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    rp, rn = F.lit(tp) - F.col("lp"), F.lit(tn) - F.col("ln")
+    side = lambda p, n: (p > n).cast("int")
+    cuts = c.join(following, ["f", "at"]).select("f", (0.5 * F.col("x") + 0.5 * F.col("nx")).alias("threshold"), (F.least("lp", "ln") + F.least(rp, rn)).alias("errors"), side(F.col("lp"), F.col("ln")).alias("left"), side(rp, rn).alias("right"))
+    none = df.sparkSession.createDataFrame([(len(features), None, min(tp, tn), int(tp > tn), int(tp > tn))], "f int, threshold double, errors bigint, left int, right int")
+    best = cuts.unionByName(none).orderBy(F.col("threshold").isNull(), "errors", "f", "threshold").limit(1)
+    names = F.array(*[F.lit(x) for x in [*features, None]])
+    return best.select(F.get(names, F.col("f")).alias("feature"), "threshold", "errors", "left", "right")
+
+
+def stump_predict(df: DataFrame, key: str, model: DataFrame) -> DataFrame:
+    """(key, predicted) by a stump's one row."""
+    m = model.first()
+    if m["threshold"] is None:
+        return df.select(key, F.lit(m["left"]).alias("predicted"))
+    return df.select(key, F.when(F.col(m["feature"]) <= m["threshold"], m["left"]).otherwise(m["right"]).alias("predicted"))
+
+
+def linear_predict(df: DataFrame, key: str, features: list[str], model: DataFrame) -> DataFrame:
+    """(key, predicted) of a linear model's terms."""
+    c = {r["term"]: r["coefficient"] for r in model.collect()}  # a row per feature
+    return df.select(key, _linear(features, [c["(intercept)"], *[c[f] for f in features]]).alias("predicted"))
+
+
+def stratified_split(df: DataFrame, key: str, strata: list[str], ratio: float = 0.25, seed: int = 0) -> DataFrame:
+    """The input with is_test: of each class round(n * ratio) rows, at least one on either side, by hashed order."""
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    size = df.groupBy(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)]).agg(F.count(F.lit(1)).alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(strata)])
+    placed = ranks(df, strata, [h, F.col(key)], "_p").join(size, same)
+    test = F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * ratio + 0.5), F.col("_n") - 1))
+    few = F.when(F.col("_n") < 2, F.raise_error(F.lit("a class has fewer than two rows"))).otherwise(F.col("_p") < test)
+    return placed.withColumn("is_test", few).drop("_p", "_n", *[f"_s{k}" for k in range(len(strata))])
 
 
 def fold(df: DataFrame, key: str, folds: int, seed: int = 0, strata: list[str] | None = None) -> DataFrame:
@@ -123,7 +199,7 @@ def fold(df: DataFrame, key: str, folds: int, seed: int = 0, strata: list[str] |
     h = F.xxhash64(F.lit(seed), F.col(key))
     if not strata:
         return df.withColumn("fold", F.pmod(h, F.lit(folds)).cast("int"))
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(*strata).orderBy(h, key)) - 1) % folds).cast("int"))
+    return ranks(df, strata, [h, F.col(key)], "_p").withColumn("fold", (F.col("_p") % folds).cast("int")).drop("_p")
 
 
 def knn_neighbors(train: DataFrame, queries: DataFrame, key: str, vector: str, target: str, k: int, weighting: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.exprs import quantile, variance
+from gneiss.functions.exprs import NAN, variance
+from gneiss.operators.ordering import cumulative, ranks
 
 MODES = ("linear", "lower", "higher", "nearest", "midpoint")
 
@@ -13,21 +16,40 @@ MODES = ("linear", "lower", "higher", "nearest", "midpoint")
 def describe(df: DataFrame, value: str, keys: list[str], digits: int = 6) -> DataFrame:
     """Count, mean, variances, skewness, excess kurtosis, median and 0.9-quantile of each group (population moments)."""
     x = F.col(value).cast("double")
-    aggs = {"mean": F.avg(x), "var0": variance(x), "var1": variance(x, 1), "skew": F.skewness(x), "kurt": F.kurtosis(x), "median": quantile(x, 0.5), "q90": quantile(x, 0.9)}
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), *[F.round(a, digits).alias(k) for k, a in aggs.items()])
+    aggs = {"mean": F.avg(x), "var0": variance(x), "var1": variance(x, 1), "skew": F.skewness(x), "kurt": F.kurtosis(x)}
+    moments = df.groupBy(*keys).agg(F.count(x).alias("n"), *[F.round(a, digits).alias(k) for k, a in aggs.items()])
+    q = quantiles_at(df.select(*keys, x.alias("_x")), "_x", keys, {"median": 0.5, "q90": 0.9})
+    q = q.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.round("median_linear", digits).alias("median"), F.round("q90_linear", digits).alias("q90"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] or [F.lit(True)]
+    return moments.join(q, reduce(Column.__and__, same)).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def quantiles(df: DataFrame, value: str, keys: list[str], q: float) -> DataFrame:
-    """The q-quantile in each interpolation mode; ties of nearest go up. Ranks come from distinct values' counts."""
-    if not 0 <= q <= 1:
+def quantiles_at(df: DataFrame, value: str, keys: list[str], qs: dict[str, float]) -> DataFrame:
+    """(keys, <name>_lower, _higher, _nearest, _linear, _midpoint of each quantile); ties of nearest go up, a NaN makes all of its group NaN.
+
+    Distinct values' counts get places by ranges of (keys, value) and running totals by blocks of places, so a group of any size spreads over tasks.
+    """
+    if any(not 0 <= q <= 1 for q in qs.values()):
         raise ValueError("q must lie in [0, 1]")
     c = df.groupBy(*keys, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    c = c.withColumn("hi", F.sum("c").over(w.orderBy("x"))).withColumn("n", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    r = F.lit(q) * (F.col("n") - 1)
-    at = lambda k: F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), F.col("x")))
-    g = c.groupBy(*keys).agg(at(F.floor(r)).alias("lower"), at(F.ceil(r)).alias("higher"), at(F.floor(r + 0.5)).alias("nearest"), F.max(r - F.floor(r)).alias("_f"))
-    return g.withColumn("linear", F.col("lower") + (F.col("higher") - F.col("lower")) * F.col("_f")).withColumn("midpoint", (F.col("lower") + F.col("higher")) / 2).drop("_f")
+    c = cumulative(ranks(c, keys, [F.col("x")], "_at"), "_at", "c", "hi", lane=keys).withColumn("lo", F.col("hi") - F.col("c"))
+    n = df.groupBy(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_n{i}")) for i, k in enumerate(keys)] or [F.lit(True)]
+    c = c.join(n, reduce(Column.__and__, same))  # a row a group
+    cols, spoilt = [], F.bool_or(F.isnan(F.col("x").cast("double")))
+    for name, q in qs.items():
+        r = F.lit(q) * (F.col("n") - 1)
+        at = lambda k: F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), F.col("x")))
+        lower, higher, part = at(F.floor(r)), at(F.ceil(r)), F.max(r - F.floor(r))
+        modes = {"lower": lower, "higher": higher, "nearest": at(F.floor(r + 0.5)), "linear": lower + (higher - lower) * part, "midpoint": (lower + higher) / 2}
+        cols += [F.when(spoilt, F.lit(NAN)).otherwise(v).alias(f"{name}_{m}") for m, v in modes.items()]
+    return c.groupBy(*keys).agg(*cols)
+
+
+def quantiles(df: DataFrame, value: str, keys: list[str], q: float) -> DataFrame:
+    """The q-quantile in each interpolation mode."""
+    g = quantiles_at(df, value, keys, {"q": q})
+    return g.select(*keys, *[F.col(f"q_{m}").alias(m) for m in ("lower", "higher", "nearest", "linear", "midpoint")])
 
 
 def weighted(df: DataFrame, x: str, w: str, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -159,56 +160,12 @@ def unique_full(spark, sf):
     return ordering.unique(t(spark, sf, "part"), "p_partkey", "p_size")
 
 
-@query("SELECT n_nationkey, event_id, value AS v FROM nation JOIN events ON event_id = (((n_nationkey*37-50) % 1000)+1000)%1000")
-def take_wrap(spark, sf):
-    p = t(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 37 - 50).alias("p"))
-    return ordering.take(events(spark, sf), "event_id", p, "p", 1000, "wrap").select("n_nationkey", "event_id", "v")
-
-
 @query("SELECT event_id, coalesce((SELECT max(n_nationkey) FROM nation WHERE n_nationkey % 10 = event_id), value) AS v FROM events")
 def put_last(spark, sf):
     w = t(spark, sf, "nation").select((F.col("n_nationkey") % 10).cast("bigint").alias("at"), F.col("n_nationkey").alias("pos"), F.col("n_nationkey").cast("double").alias("new"))
     return ordering.put(events(spark, sf).select("event_id", "v"), "event_id", "v", w)
 
 
-@query("SELECT event_id // 40 AS i0, event_id % 40 AS i1, value AS v FROM events WHERE event_id < 1000 AND value <> 0 AND value > 250")
-def select_nonzero(spark, sf):
-    return layout.reshape(matrix(spark, sf), (25, 40), (25, -1)).filter("v <> 0 and v > 250")
-
-
-def matrix(spark, sf):
-    """The first 1000 events as a 25 x 40 matrix (a fixed-size array, not a sample of the table)."""
-    e = F.col("event_id")
-    return t(spark, sf, "events").filter(e < 1000).select(F.floor(e / 40).alias("i0"), (e % 40).alias("i1"), F.col("value").alias("v"))
-
-
-M = "(SELECT event_id // 40 AS i0, event_id % 40 AS i1, event_id AS e, value AS v FROM events WHERE event_id < 1000)"
-LAYOUT = {
-    "reshape": (lambda m: layout.reshape(m, (25, 40), (10, 100)), f"SELECT e//100 AS i0, e%100 AS i1, v FROM {M}"),
-    "transpose": (lambda m: layout.transpose(m, 2), f"SELECT i1 AS i0, i0 AS i1, v FROM {M}"),
-    "ravel": (lambda m: layout.ravel(m, (25, 40)), f"SELECT e AS i0, v FROM {M}"),
-    "expand_squeeze": (lambda m: layout.squeeze(layout.expand_dims(m, 2, 1), (25, 1, 40)), f"SELECT i0, i1, v FROM {M}"),
-    "slice_step": (lambda m: layout.take_slice(m, 1, 3, 30, 4), f"SELECT i0, (i1-3)//4 AS i1, v FROM {M} WHERE i1>=3 AND i1<30 AND (i1-3)%4=0"),
-    "concat": (lambda m: layout.concatenate([(m, (25, 40)), (m, (25, 40))], 0), f"SELECT i0, i1, v FROM {M} UNION ALL SELECT i0+25, i1, v FROM {M}"),
-    "stack": (lambda m: layout.stack([m, m], 2), f"SELECT CAST(0 AS BIGINT) AS i0, i0 AS i1, i1 AS i2, v FROM {M} UNION ALL SELECT 1, i0, i1, v FROM {M}"),
-    "split": (lambda m: layout.split(m, 40, 4, 1), f"SELECT i0, i1%10 AS i1, v, i1//10 AS part FROM {M}"),
-    "repeat": (lambda m: layout.repeat(m, 2, 1), f"SELECT i0, i1*2+k AS i1, v FROM {M}, (VALUES (0),(1)) x(k)"),
-    "tile": (lambda m: layout.tile(m, 25, 3, 0), f"SELECT i0+25*k AS i0, i1, v FROM {M}, (VALUES (0),(1),(2)) x(k)"),
-    "flip": (lambda m: layout.flip(m, 40, 1), f"SELECT i0, 39-i1 AS i1, v FROM {M}"),
-    "roll": (lambda m: layout.roll(m, 25, -7, 0), f"SELECT (i0+18)%25 AS i0, i1, v FROM {M}"),
-    "pad": (lambda m: layout.pad(m, (25, 40), [(1, 0), (2, 1)], 9.0), f"SELECT i0+1 AS i0, i1+2 AS i1, v FROM {M} UNION ALL SELECT a, b, 9.0 FROM range(26) x(a), range(43) y(b) WHERE a<1 OR b<2 OR b>=42"),
-    "diagonal": (lambda m: layout.diagonal(m, 2), f"SELECT i0, v FROM {M} WHERE i1-i0=2"),
-    "trace": (linalg.trace, f"SELECT sum(v) AS trace FROM {M} WHERE i0=i1"),
-    "matmul": (lambda m: linalg.matmul(m, layout.transpose(m, 2)).select("i0", "i1", r(F.col("v"), 3).alias("v")), f"SELECT a.i0, b.i0 AS i1, round(sum(a.v*b.v),3) AS v FROM {M} a JOIN {M} b ON a.i1=b.i1 GROUP BY 1,2"),
-    "norms": (lambda m: linalg.norms(m).select(*[r(F.col(c), 4).alias(c) for c in ("fro", "l1", "inf")]), f"SELECT round(sqrt(sum(v*v)),4) AS fro, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {M} GROUP BY i1)) AS l1, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {M} GROUP BY i0)) AS inf FROM {M}"),
-}
-for _name, (_f, _sql) in LAYOUT.items():
-    QUERIES[_name] = lambda spark, sf, f=_f: f(matrix(spark, sf))
-    ORACLE[_name] = _sql
-ORACLE["trace"] = f"SELECT round(sum(v),6) AS trace FROM {M} WHERE i0=i1"
-QUERIES["trace"] = lambda spark, sf: linalg.trace(matrix(spark, sf)).select(r(F.col("trace")).alias("trace"))
-
-
 def table_matrix(spark, sf):
     """All events as a matrix of 40 columns, and its shape; 0.0 fills a last short row."""
     e = t(spark, sf, "events").select("event_id", F.col("value").alias("v"))
@@ -223,9 +180,13 @@ def length(e: DataFrame) -> int:
     return 0 if last is None else last + 1
 
 
+def weights(m: DataFrame) -> DataFrame:
+    return arrays.full(m.sparkSession, (40, 3), (F.col("i0") + F.col("i1")) / 100.0)
+
+
 W = "(SELECT e // 40 AS i0, e % 40 AS i1, e, v FROM (SELECT event_id AS e, value AS v FROM events UNION ALL SELECT m + k, 0.0 FROM (SELECT max(event_id) AS m FROM events), range(1, 40) x(k) WHERE (m + k) // 40 = m // 40))"
 ROWS = "(SELECT max(event_id) // 40 + 1 FROM events)"
-#: The operators above over the whole table; names end in _all.
+#: Layout and products over the whole table.
 WHOLE = {
     "reshape": (lambda m, s: layout.reshape(m, s, (40, -1)), f"SELECT e//{ROWS} AS i0, e%{ROWS} AS i1, v FROM {W}"),
     "transpose": (lambda m, s: layout.transpose(m, 2), f"SELECT i1 AS i0, i0 AS i1, v FROM {W}"),
@@ -242,17 +203,27 @@ WHOLE = {
     "pad": (lambda m, s: layout.pad(m, s, [(1, 0), (2, 1)], 9.0), f"SELECT i0+1 AS i0, i1+2 AS i1, v FROM {W} UNION ALL SELECT a, b, 9.0 FROM (SELECT unnest(range({ROWS}+1)) AS a), range(43) y(b) WHERE a<1 OR b<2 OR b>=42"),
     "diagonal": (lambda m, s: layout.diagonal(m, 2), f"SELECT i0, v FROM {W} WHERE i1-i0=2"),
     "trace": (lambda m, s: linalg.trace(m).select(r(F.col("trace")).alias("trace")), f"SELECT round(sum(v),6) AS trace FROM {W} WHERE i0=i1"),
-    "matmul": (lambda m, s: linalg.matmul(m, layout.transpose(m, 2)).select("i0", "i1", r(F.col("v"), 3).alias("v")), f"SELECT a.i0, b.i0 AS i1, round(sum(a.v*b.v),3) AS v FROM {W} a JOIN {W} b ON a.i1=b.i1 GROUP BY 1,2"),
+    "matmul": (lambda m, s: linalg.matmul(layout.transpose(m, 2), m).select("i0", "i1", r(F.col("v"), 3).alias("v")), f"SELECT a.i1 AS i0, b.i1, round(sum(a.v*b.v),3) AS v FROM {W} a JOIN {W} b ON a.i0=b.i0 GROUP BY 1,2"),
+    "affine": (lambda m, s: linalg.affine(m, weights(m), arrays.full(m.sparkSession, (3,), F.col("i0") * 1.0)).select("i0", "i1", r(F.col("v"), 4).alias("v")), f"SELECT i0, j AS i1, round(sum(v*(i1+j)/100)+j,4) AS v FROM {W}, range(3) x(j) GROUP BY 1,2"),
+    "split_at": (lambda m, s: layout.split_at(m, 40, [5, -10], 1), f"SELECT i0, CASE WHEN i1<5 THEN i1 WHEN i1<30 THEN i1-5 ELSE i1-30 END AS i1, v, CAST(CASE WHEN i1<5 THEN 0 WHEN i1<30 THEN 1 ELSE 2 END AS BIGINT) AS part FROM {W}"),
+    "array_split": (lambda m, s: layout.array_split(m, 40, 3, 1), f"SELECT i0, CASE WHEN i1<14 THEN i1 WHEN i1<27 THEN i1-14 ELSE i1-27 END AS i1, v, CAST(CASE WHEN i1<14 THEN 0 WHEN i1<27 THEN 1 ELSE 2 END AS BIGINT) AS part FROM {W}"),
+    "swap_move_axes": (lambda m, s: layout.moveaxis(layout.swapaxes(layout.expand_dims(m, 2, 0), 3, 0, 2), 3, 0, 1), f"SELECT i0, i1, CAST(0 AS BIGINT) AS i2, v FROM {W}"),
+    "broadcast_to": (lambda m, s: layout.broadcast_to(layout.ravel(m.filter("i0 = 0"), (1, 40)), (40,), (3, 40)), f"SELECT k AS i0, i1, v FROM {W}, range(3) x(k) WHERE i0 = 0"),
+    "flip_all": (lambda m, s: layout.flip_all(m, s), f"SELECT {ROWS}-1-i0 AS i0, 39-i1 AS i1, v FROM {W}"),
+    "roll_all": (lambda m, s: layout.roll_all(m, s, 17), f"SELECT ((e+17)%({ROWS}*40))//40 AS i0, ((e+17)%({ROWS}*40))%40 AS i1, v FROM {W}"),
+    "sum_keepdims": (lambda m, s: m.groupBy("i0").agg(r(F.sum("v"), 4).alias("v")).select("i0", F.lit(0).cast("bigint").alias("i1"), "v"), f"SELECT i0, CAST(0 AS BIGINT) AS i1, round(sum(v),4) AS v FROM {W} GROUP BY 1"),
+    "cumsum_axis": (lambda m, s: ordering.cumulative(m, "i0", "v", "run", block=64, lane=["i1"]).select("i0", "i1", r(F.col("run"), 3).alias("v")), f"SELECT i0, i1, round(sum(v) OVER (PARTITION BY i1 ORDER BY i0),3) AS v FROM {W}"),
+    "sort_axis": (lambda m, s: ordering.sort(m, ["i1"], "i0", "v"), f"SELECT row_number() OVER (PARTITION BY i1 ORDER BY v)-1 AS i0, i1, v FROM {W}"),
     "norms": (lambda m, s: linalg.norms(m).select(*[r(F.col(c), 4).alias(c) for c in ("fro", "l1", "inf")]), f"SELECT round(sqrt(sum(v*v)),4) AS fro, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {W} GROUP BY i1)) AS l1, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {W} GROUP BY i0)) AS inf FROM {W}"),
     "select_nonzero": (lambda m, s: layout.reshape(m, s, (s[0], -1)).filter("v <> 0 and v > 250"), f"SELECT i0, i1, v FROM {W} WHERE v <> 0 AND v > 250"),
 }
 for _name, (_f, _sql) in WHOLE.items():
-    QUERIES[f"{_name}_all"] = lambda spark, sf, f=_f: f(*table_matrix(spark, sf))
-    ORACLE[f"{_name}_all"] = _sql
+    QUERIES[_name] = lambda spark, sf, f=_f: f(*table_matrix(spark, sf))
+    ORACLE[_name] = _sql
 
 
 @query("WITH n AS (SELECT max(event_id)+1 AS n FROM events) SELECT n_nationkey, event_id, value AS v FROM nation, n JOIN events ON event_id = (((n_nationkey*37-50) % n)+n)%n")
-def take_wrap_all(spark, sf):
+def take_wrap(spark, sf):
     e = events(spark, sf)
     p = t(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 37 - 50).alias("p"))
     return ordering.take(e, "event_id", p, "p", length(e), "wrap").select("n_nationkey", "event_id", "v")
@@ -378,7 +349,7 @@ def gnb_fit(spark, sf):
 
 @query("""WITH c AS (SELECT p_size AS x, count_if(p_partkey%3=0) AS p, count_if(p_partkey%3<>0) AS n FROM part GROUP BY 1), w AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(p) OVER (ORDER BY x) AS lp, sum(n) OVER (ORDER BY x) AS ln, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM c) SELECT 0.5*x+0.5*nx AS threshold, CAST(least(lp,ln)+least(tp-lp,tn-ln) AS BIGINT) AS errors FROM w WHERE nx IS NOT NULL ORDER BY errors, threshold LIMIT 1""")
 def stump(spark, sf):
-    return ml.decision_stump(t(spark, sf, "part").withColumn("y", (F.col("p_partkey") % 3 == 0).cast("int")), "p_size", "y").withColumn("threshold", F.col("threshold").cast("double"))
+    return ml.decision_stump(t(spark, sf, "part").withColumn("y", (F.col("p_partkey") % 3 == 0).cast("int")), "p_size", "y").select("threshold", "errors")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value),6) AS mean, round(var_pop(value)+1e-7,3) AS var0 FROM events GROUP BY 1,2")
@@ -386,15 +357,23 @@ def windowed(spark, sf):
     return windowed_moments(t(spark, sf, "events"), "ts", "value", ["event_type"]).select("window_start", "event_type", "n", r(F.col("mean")).alias("mean"), r(F.col("var0") + 1e-7, 3).alias("var0"))
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS keys, true AS in_range, 0.5 AS u, 0.0 AS z, 1.0 AS z2, 0.3 AS b, 4.5 AS i, 0.17 AS c0, 0.5 AS c1 FROM events")
 def random_draws(spark, sf):
+    """Draws of every event, as counts, ranges and moments; moments to within five standard errors of what they should be."""
     k = F.col("event_id")
-    return events(spark, sf).select("event_id", E.uniform(7, k).alias("u"), E.normal(7, k).alias("z"), E.randint(7, k, 0, 10).alias("i"), E.bernoulli(7, k, 0.3).alias("b"), E.categorical(7, k, [1.0, 3.0, 2.0]).alias("c"))
+    d = events(spark, sf).select(k, E.uniform(7, k).alias("u"), E.normal(7, k).alias("z"), E.randint(7, k, 0, 10).alias("i"), E.bernoulli(7, k, 0.3).cast("double").alias("b"), E.categorical(7, k, [1.0, 3.0, 2.0]).alias("c"))
+    root = F.sqrt(F.count(F.lit(1)))
+    near = lambda x, want, sd: F.when(F.abs(F.avg(x) - want) * root <= 5 * sd, want).otherwise(F.avg(x))
+    share = lambda j: (F.col("c") == j).cast("double")
+    ok = (F.col("u") >= 0) & (F.col("u") < 1) & F.col("i").between(0, 9) & F.col("c").between(0, 2)
+    c0 = F.when(F.abs(F.avg(share(0)) - 1 / 6) * root <= 2, 0.17).otherwise(F.avg(share(0)))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("keys"), F.bool_and(ok).alias("in_range"), near("u", 0.5, 0.29).alias("u"), near("z", 0.0, 1.0).alias("z"), near(F.col("z") ** 2, 1.0, 1.5).alias("z2"), near("b", 0.3, 0.46).alias("b"), near("i", 4.5, 2.9).alias("i"), c0.alias("c0"), near(share(1), 0.5, 0.5).alias("c1"))
 
 
-@query()
+@query("WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, CAST(k AS INTEGER) AS fold, n//5 + CASE WHEN k < n%5 THEN 1 ELSE 0 END AS rows FROM c, range(5) x(k)")
 def stratified_folds(spark, sf):
-    return ml.fold(t(spark, sf, "customer"), "c_custkey", 5, strata=["c_mktsegment"]).select("c_custkey", "c_mktsegment", "fold")
+    """Rows of each class in each fold."""
+    return ml.fold(t(spark, sf, "customer"), "c_custkey", 5, strata=["c_mktsegment"]).groupBy("c_mktsegment", "fold").agg(F.count_distinct("c_custkey").alias("rows"))
 
 
 KNN = f"SELECT q, idx, d, rank, y FROM (SELECT a.vec_id AS q, b.vec_id AS idx, b.label AS y, {DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 7"
@@ -412,10 +391,12 @@ def knn_regress(spark, sf):
     return ml.knn_regress(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", "label", 7, "distance").select("q", r(F.col("predicted")).alias("predicted"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT value/100 AS s, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS y FROM events), w(k, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT k+1, a-0.5*ga, b-0.5*gb FROM (SELECT k, any_value(a) AS a, any_value(b) AS b, avg(1/(1+exp(-(a+b*s)))-y) AS ga, avg((1/(1+exp(-(a+b*s)))-y)*s) AS gb FROM w, d WHERE k < 25 GROUP BY k))
+SELECT '(intercept)' AS term, round(a,6) AS coefficient, 25 AS iterations, false AS converged FROM w WHERE k = 25 UNION ALL SELECT 's', round(b,6), 25, false FROM w WHERE k = 25""")
 def logistic(spark, sf):
-    d = events(spark, sf).select((F.col("v") / 100).alias("s"), (F.col("v") > 50).cast("int").alias("y")).cache()
-    model, steps, done = ml.logistic_regression(d, ["s"], "y", rate=0.5)
+    """Gradient descent of 25 steps; the result says that it has not converged."""
+    d = events(spark, sf).select((F.col("v") / 100).alias("s"), (F.col("v") > 50).cast("int").alias("y"))
+    model, steps, done = ml.logistic_regression(d, ["s"], "y", rate=0.5, iterations=25)
     return model.select("term", r(F.col("coefficient")).alias("coefficient"), F.lit(steps).alias("iterations"), F.lit(done).alias("converged"))
 
 
@@ -448,24 +429,101 @@ def nan_extremes(spark, sf):
     return stats.nan_extremes(events(spark, sf), "x")
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS places, CAST(0 AS BIGINT) AS first, count(*)-1 AS last, true AS moved FROM events")
 def permutation(spark, sf):
-    return ordering.shuffled_rank(events(spark, sf).select("event_id"), "event_id", 7, "position")
+    p = ordering.shuffled_rank(events(spark, sf).select("event_id"), "event_id", 7, "position")
+    return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("places"), F.min("position").alias("first"), F.max("position").alias("last"), F.bool_or(F.col("position") != F.col("event_id")).alias("moved"))
 
 
-@query()
+@query("SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS ids, CAST(100 AS BIGINT) AS known")
 def choice(spark, sf):
-    return ordering.choice(events(spark, sf).select("event_id"), "event_id", 100, 7)
+    e = events(spark, sf).select("event_id")
+    c = ordering.choice(e, "event_id", 100, 7).withColumn("_c", F.col("event_id"))
+    return c.join(e, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_c").alias("ids"), F.count("event_id").alias("known"))
 
 
-@query()
+@query("SELECT count(*)*2 AS n, true AS again, true AS in_range FROM nation")
+def choice_replaced(spark, sf):
+    """Twice as many draws as rows: some row comes again."""
+    e = t(spark, sf, "nation").select("n_nationkey")
+    n = e.count()
+    c = ordering.choice_with_replacement(e, "n_nationkey", 2 * n, 3)
+    return c.agg(F.count_distinct("draw").alias("n"), (F.count_distinct("n_nationkey") < F.count(F.lit(1))).alias("again"), F.bool_and(F.col("n_nationkey").between(0, n - 1)).alias("in_range"))
+
+
+@query("WITH c AS (SELECT count(*) AS n FROM customer) SELECT CAST(k AS INTEGER) AS fold, n//7 + CASE WHEN k < n%7 THEN 1 ELSE 0 END AS rows FROM c, range(7) x(k)")
 def k_folds(spark, sf):
-    return ml.k_fold(t(spark, sf, "customer").select("c_custkey"), "c_custkey", 7, 3)
+    return ml.k_fold(t(spark, sf, "customer").select("c_custkey"), "c_custkey", 7, 3).groupBy("fold").agg(F.count_distinct("c_custkey").alias("rows"))
 
 
-@query()
+@query("SELECT is_test, CASE WHEN is_test THEN CAST(floor(n*0.25+0.5) AS BIGINT) ELSE n-CAST(floor(n*0.25+0.5) AS BIGINT) END AS rows FROM (SELECT count(*) AS n FROM customer), (VALUES (true),(false)) x(is_test)")
 def train_test(spark, sf):
-    return ml.train_test_split(t(spark, sf, "customer").select("c_custkey"), "c_custkey", 0.25, 3)
+    return ml.train_test_split(t(spark, sf, "customer").select("c_custkey"), "c_custkey", 0.25, 3).groupBy("is_test").agg(F.count_distinct("c_custkey").alias("rows"))
+
+
+@query("SELECT c_mktsegment, is_test, CASE WHEN is_test THEN CAST(floor(n*0.25+0.5) AS BIGINT) ELSE n-CAST(floor(n*0.25+0.5) AS BIGINT) END AS rows FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), (VALUES (true),(false)) x(is_test)")
+def stratified_split(spark, sf):
+    return ml.stratified_split(t(spark, sf, "customer"), "c_custkey", ["c_mktsegment"], 0.25, 3).groupBy("c_mktsegment", "is_test").agg(F.count_distinct("c_custkey").alias("rows"))
+
+
+@query("SELECT p_partkey, CAST((p_size*9+200)%256 AS SMALLINT) AS add8, CAST(((p_size-40)%256+256)%256 AS SMALLINT) AS sub8, CAST((p_size*p_size*977)%65536 AS INTEGER) AS mul16, CAST((CAST(p_size-60 AS HUGEINT)+18446744073709551616)%18446744073709551616 AS VARCHAR) AS sub64 FROM part")
+def ew_unsigned(spark, sf):
+    p = F.col("p_size").cast("bigint")
+    return t(spark, sf, "part").select("p_partkey", E.unsigned("+", p * 9, F.lit(200), 8).alias("add8"), E.unsigned("-", p, F.lit(40), 8).alias("sub8"), E.unsigned("*", p * p, F.lit(977), 16).alias("mul16"), E.unsigned("-", p, F.lit(60), 64).cast("string").alias("sub64"))
+
+
+@query("SELECT p_partkey, (p_size % 2 <> 0) <> (p_size % 3 <> 0) AS x, p_size % 2 <> 0 AND p_size % 3 <> 0 AS a, p_size % 2 <> 0 OR p_size % 3 <> 0 AS o, p_size % 2 = 0 AS n, CAST(p_size AS DOUBLE) AS f, CAST(p_size AS VARCHAR) AS s, CASE WHEN p_size > 25 THEN -1 ELSE p_size END AS filled FROM part")
+def ew_logic_cast(spark, sf):
+    p = F.col("p_size")
+    a, b = (p % 2).cast("double"), (p % 3).cast("double")
+    return t(spark, sf, "part").select("p_partkey", E.logical_xor(a, b).alias("x"), (E.truth(a) & E.truth(b)).alias("a"), (E.truth(a) | E.truth(b)).alias("o"), (~E.truth(a)).alias("n"), p.cast("double").alias("f"), p.cast("string").alias("s"), F.when(p > 25, F.lit(-1)).otherwise(p).alias("filled"))
+
+
+@query("SELECT event_type, round(exp(sum(ln(1+value*1e-6))),6) AS p FROM events GROUP BY 1")
+def red_prod(spark, sf):
+    return events(spark, sf).groupBy("event_type").agg(r(E.product(1 + F.col("v") * 1e-6)).alias("p"))
+
+
+@query("SELECT event_type, event_id, CAST(CASE WHEN k < 5 THEN 0 WHEN k < 50 THEN 1 ELSE 2 END AS INTEGER) AS part FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS k FROM events)")
+def argpartition(spark, sf):
+    return ordering.argpartition(events(spark, sf), ["event_type"], "event_id", "v", [50, 5])
+
+
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY p_size) - 1 AS inverse FROM part")
+def unique_inverse(spark, sf):
+    return ordering.unique_inverse(t(spark, sf, "part"), "p_partkey", "p_size")
+
+
+@query("WITH m AS (SELECT regr_slope(l_extendedprice,l_quantity) AS w, regr_intercept(l_extendedprice,l_quantity) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(b+w*l_quantity,3) AS predicted FROM lineitem, m")
+def linreg_predict(spark, sf):
+    d = t(spark, sf, "lineitem").withColumn("_id", F.struct("l_orderkey", "l_linenumber"))
+    return ml.linear_predict(d, "_id", ["l_quantity"], ml.linear_regression(d, ["l_quantity"], "l_extendedprice")).select("_id.l_orderkey", "_id.l_linenumber", r(F.col("predicted"), 3).alias("predicted"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def scaler_inverse(spark, sf):
+    d = t(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    s, m = ml.Scaler.standard(d, ["c_acctbal"]), ml.Scaler.min_max(d, ["c_acctbal"])
+    return m.inverse(m.transform(s.inverse(s.transform(d)))).select("c_custkey", r(F.col("c_acctbal"), 2).alias("c_acctbal"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS value FROM customer")
+def label_round_trip(spark, sf):
+    d = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return ml.label_decode(ml.label_encode(d, "c_mktsegment"), "code", ml.label_codes(d, "c_mktsegment")).select("c_custkey", "value")
+
+
+BAYES = "log(prior) - 0.5*ln(2*pi()*vq) - (l_quantity-mq)*(l_quantity-mq)/(2*vq) - 0.5*ln(2*pi()*vd) - (l_discount-md)*(l_discount-md)/(2*vd)".replace("log(prior)", "ln(prior)")
+
+
+@query(f"""WITH m AS (SELECT l_linestatus AS label, count(*)/(SELECT count(*) FROM lineitem) AS prior, avg(l_quantity) AS mq, var_pop(l_quantity)+1e-9 AS vq, avg(l_discount) AS md, var_pop(l_discount)+1e-9 AS vd FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, l_linenumber, label, {BAYES} AS s FROM lineitem, m) SELECT l_orderkey, l_linenumber, arg_max(label, s) AS predicted FROM s GROUP BY 1,2""")
+def gnb_predict(spark, sf):
+    d, f = t(spark, sf, "lineitem").withColumn("_id", F.struct("l_orderkey", "l_linenumber")), ["l_quantity", "l_discount"]
+    return ml.bayes_predict(d, "_id", f, ml.gaussian_bayes(d, "l_linestatus", f)).select("_id.l_orderkey", "_id.l_linenumber", "predicted")
+
+
+# ---- batches of small matrices: a 4 x 4 matrix per part; factors are multiplied together again, solutions put back
 
 
 def batch_of_matrices(spark, sf):
@@ -475,5 +533,66 @@ def batch_of_matrices(spark, sf):
     return p.select(F.col("p_partkey").alias("batch"), "i0", "i1", v.alias("v"))
 
 
-for _k in linalg.KERNELS:
-    QUERIES[f"batched_{_k}"] = lambda spark, sf, k=_k: linalg.batched(batch_of_matrices(spark, sf), k)
+def right_sides(spark, sf):
+    p = t(spark, sf, "part").select("p_partkey", "p_size").crossJoin(arrays.grid(spark, (4, 1)))  # 4 cells for each
+    return p.select(F.col("p_partkey").alias("batch"), "i0", "i1", (F.col("p_size") + F.col("i0")).cast("double").alias("v"))
+
+
+def low_rank(spark, sf):
+    """Every third part's matrix is an outer product."""
+    return batch_of_matrices(spark, sf).withColumn("v", F.when(F.col("batch") % 3 == 0, ((F.col("i0") + 1) * (F.col("i1") + 1)).cast("double")).otherwise(F.col("v")))
+
+
+def cells(d: DataFrame, digits: int = 6) -> DataFrame:
+    return d.select("batch", "i0", "i1", r(F.col("v"), digits).alias("v"))
+
+
+A = "(SELECT p_partkey AS batch, i AS i0, j AS i1, CASE WHEN i=j THEN p_retailprice+i ELSE p_size/(1.0+i+j) END AS v FROM part, range(4) a(i), range(4) b(j))"
+B = "(SELECT p_partkey AS batch, i AS i0, CAST(0 AS BIGINT) AS i1, CAST(p_size+i AS DOUBLE) AS v FROM part, range(4) a(i))"
+A_CELLS, B_CELLS = (f"SELECT batch, i0, i1, round(v,6) AS v FROM {x}" for x in (A, B))
+UNIT = f"SELECT batch, i0, i1, CASE WHEN i0=i1 THEN 1.0 ELSE 0.0 END AS v FROM {A}"
+WIDE = "SELECT batch, " + ", ".join(f"max(v) FILTER (i0={i} AND i1={j}) AS a{i}{j}" for i in range(4) for j in range(4)) + f" FROM {A} GROUP BY 1"
+
+
+def _leibniz() -> str:
+    """The 4 x 4 determinant as a sum over permutations."""
+    terms = []
+    for p in itertools.permutations(range(4)):
+        odd = sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4)) % 2
+        terms.append(("-" if odd else "+") + "*".join(f"a{i}{p[i]}" for i in range(4)))
+    return "".join(terms)
+
+
+mul, tr, run_kernel = linalg.batched_matmul, linalg.batched_transpose, linalg.batched
+lower_part = lambda m: m.filter("i1 <= i0")
+#: name: (query of the matrices m and right sides b, SQL)
+BATCHED = {
+    "matmul": (lambda m, b: cells(mul(m, m), 3), f"SELECT a.batch, a.i0, b.i1, round(sum(a.v*b.v),3) AS v FROM {A} a JOIN {A} b ON a.batch=b.batch AND a.i1=b.i0 GROUP BY 1,2,3"),
+    "transpose": (lambda m, b: tr(b), f"SELECT batch, i1 AS i0, i0 AS i1, v FROM {B}"),
+    "dot": (lambda m, b: linalg.batched_dot(b, b), f"SELECT batch, sum(v*v) AS v FROM {B} GROUP BY 1"),
+    "diag": (lambda m, b: linalg.batched_diag(b), f"SELECT batch, i AS i0, j AS i1, CASE WHEN i=j THEN CAST(p_size+i AS DOUBLE) ELSE 0.0 END AS v FROM (SELECT p_partkey AS batch, p_size FROM part), range(4) a(i), range(4) b(j)"),
+    "solve": (lambda m, b: cells(mul(m, run_kernel(m, "solve", b))), B_CELLS),
+    "solve_transpose": (lambda m, b: cells(mul(tr(m), run_kernel(m, "solve_transpose", b))), B_CELLS),
+    "solve_spd": (lambda m, b: cells(mul(m, run_kernel(m, "solve_spd", b))), B_CELLS),
+    "conjugate_gradient": (lambda m, b: cells(mul(m, run_kernel(m, "conjugate_gradient", b))), B_CELLS),
+    "lower_solve": (lambda m, b: cells(mul(lower_part(m), run_kernel(lower_part(m), "lower_solve", b))), B_CELLS),
+    "upper_solve": (lambda m, b: cells(mul(tr(lower_part(m)), run_kernel(tr(lower_part(m)), "upper_solve", b))), B_CELLS),
+    "inverse": (lambda m, b: cells(mul(m, run_kernel(m, "inverse"))), UNIT),
+    "lu": (lambda m, b: cells(mul(tr(run_kernel(m, "lu_p")), mul(run_kernel(m, "lu_l"), run_kernel(m, "lu_u")))), A_CELLS),
+    "cholesky": (lambda m, b: cells(mul(run_kernel(m, "cholesky"), tr(run_kernel(m, "cholesky")))), A_CELLS),
+    "qr": (lambda m, b: cells(mul(run_kernel(m, "qr_q"), run_kernel(m, "qr_r"))), A_CELLS),
+    "qr_orthogonal": (lambda m, b: cells(mul(tr(run_kernel(m, "qr_q")), run_kernel(m, "qr_q"))), UNIT),
+    "eigen": (lambda m, b: cells(mul(mul(run_kernel(m, "eigenvectors"), linalg.batched_diag(run_kernel(m, "eigenvalues").drop("i1"))), tr(run_kernel(m, "eigenvectors")))), A_CELLS),
+    "eigenvalues": (lambda m, b: run_kernel(m, "eigenvalues").groupBy("batch").agg(r(F.sum("v"), 4).alias("total"), r(F.sum(F.col("v") ** 2), 2).alias("squares")), f"SELECT batch, round(sum(v) FILTER (i0=i1),4) AS total, round(sum(v*v),2) AS squares FROM {A} GROUP BY 1"),
+    "det": (lambda m, b: run_kernel(m, "det").select("batch", r(F.col("v") / 1e9).alias("det")), f"SELECT batch, round(({_leibniz()})/1e9,6) AS det FROM ({WIDE})"),
+    "slogdet": (lambda m, b: run_kernel(m, "slogdet").groupBy("batch").agg(r(F.max(F.when(F.col("i1") == 0, F.col("v")))).alias("sign"), r(F.max(F.when(F.col("i1") == 1, F.col("v")))).alias("log")), f"SELECT batch, 1.0 AS sign, round(ln({_leibniz()}),6) AS log FROM ({WIDE})"),
+    "condition": (lambda m, b: run_kernel(m.filter("i0 < 2 and i1 < 2"), "condition_number").select("batch", r(F.col("v")).alias("c")), f"SELECT batch, round(((a00+a11)/2+d)/((a00+a11)/2-d),6) AS c FROM (SELECT *, sqrt((a00-a11)*(a00-a11)/4+a01*a01) AS d FROM ({WIDE}))"),
+}
+for _k, (_f, _sql) in BATCHED.items():
+    QUERIES[f"batched_{_k}"] = lambda spark, sf, f=_f: f(batch_of_matrices(spark, sf), right_sides(spark, sf))
+    ORACLE[f"batched_{_k}"] = _sql
+
+
+@query("SELECT p_partkey AS batch, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 4 END AS rank FROM part")
+def batched_rank(spark, sf):
+    return linalg.batched(low_rank(spark, sf), "matrix_rank").select("batch", F.col("v").cast("int").alias("rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gneiss import meta
 from gneiss.errors import AxisError, NumericError, ShapeError
 from gneiss.functions import exprs as E
-from gneiss.operators import linalg, ml, ordering
+from gneiss.operators import linalg, ml, ordering, stats
 from gneiss.sources import arrays
 
 
@@ -81,9 +81,25 @@ def test_kernels(spark):
     assert np.allclose(result("inverse", 1) @ ms[1], np.eye(4)) and np.allclose(result("det", 2)[0, 0], np.linalg.det(ms[2]))
     c, r = result("cholesky", 3), result("qr_r", 4)
     assert np.allclose(c @ c.T, ms[3]) and np.allclose(r.T @ r, ms[4].T @ ms[4])
-    for bad in (linalg.det, linalg.inverse, linalg.cholesky, linalg.qr_r):
+    for bad in ("det", "inverse", "cholesky", "qr_r", "lu_l", "slogdet"):
         with pytest.raises(NumericError):
-            bad(np.ones((3, 3)))
+            linalg.KERNELS[bad](np.ones((2, 3, 3)))
+    b = rng.normal(size=(6, 4, 2))
+    stack = np.stack([ms[k] for k in range(6)])
+    for name in ("solve", "solve_spd", "conjugate_gradient", "solve_transpose"):
+        assert np.allclose(linalg.KERNELS[name](stack, b), np.linalg.solve(stack, b)), name
+    odd = rng.normal(size=(5, 4, 4))
+    p, l, u = linalg.lu(odd)
+    assert np.allclose(p @ odd, l @ u) and np.allclose(np.tril(l), l) and np.allclose(np.triu(u), u) and np.abs(l).max() <= 1
+    assert np.allclose(linalg.det(odd)[:, 0, 0], np.linalg.det(odd)) and np.allclose(linalg.solve_transpose(odd, b[:5]), np.linalg.solve(odd.transpose(0, 2, 1), b[:5]))
+    with pytest.raises(NumericError):
+        linalg.eigen(odd)
+    tall = rng.normal(size=(3, 6, 2))
+    q, r = linalg.qr(tall)
+    assert np.allclose(q @ r, tall) and (np.einsum("kii->ki", r) > 0).all() and linalg.matrix_rank(tall).ravel().tolist() == [2.0] * 3
+    assert np.isinf(linalg.condition_number(np.array([[[1.0, 0.0], [0.0, 0.0]]]))).all()
+    sizes = spark.createDataFrame([(1, 0, 0, 2.0), (2, 0, 0, 1.0), (2, 0, 1, 0.5), (2, 1, 0, 0.5), (2, 1, 1, 3.0)], "batch bigint, i0 bigint, i1 bigint, v double")
+    assert {x["batch"]: round(x["v"], 9) for x in linalg.batched(sizes, "det").collect()} == {1: 2.0, 2: 2.75}
 
 
 def test_order_and_models(spark):
@@ -99,6 +115,40 @@ def test_order_and_models(spark):
         ml.linear_regression(two, ["a", "b"], "y")
 
 
+def test_ranks_of_hot_lanes_and_quantiles(spark):
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 30, 500).astype(float)
+    rows = [(i, "hot" if i % 10 else None, float(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "i bigint, lane string, v double").repartition(5)
+    got = {r["i"]: r["rank"] for r in ordering.argsort(df, ["lane"], "i", "v").collect()}
+    for lane in ("hot", None):
+        own = sorted((x, i) for i, k, x in rows if k == lane)
+        assert [got[i] for _, i in own] == list(range(len(own)))
+    q = {r["lane"]: r for r in stats.quantiles(df, "v", ["lane"], 0.3).collect()}
+    for lane in ("hot", None):
+        own = np.array([x for _, k, x in rows if k == lane])
+        assert all(np.isclose(q[lane][m], np.quantile(own, 0.3, method=m)) for m in ("linear", "lower", "higher", "midpoint"))
+    assert stats.quantiles(df, "v", [], 0.5).first()["linear"] == np.median(v)
+    needles = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 7.5, 12.0, 29.0, 99.0)], "k double")
+    for side in ("left", "right"):
+        assert all(r["position"] == np.searchsorted(np.sort(v), r["k"], side) for r in ordering.searchsorted(df, "v", needles, "k", side).collect())
+    assert ordering.argsort(df.limit(0), ["lane"], "i", "v").count() == 0
+
+
+def test_stump_features_leaves_and_constants(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (80, 2))
+    y = ((x[:, 1] > 2) ^ (rng.random(80) < 0.1)).astype(int)
+    df = spark.createDataFrame([(i, int(a), int(b), int(c), 1) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "i int, a int, b int, y int, k int")
+    m = ml.decision_stump(df, ["a", "b"], "y").first()
+    best = min((min((y[x[:, f] <= c] == 1).sum(), (y[x[:, f] <= c] == 0).sum()) + min((y[x[:, f] > c] == 1).sum(), (y[x[:, f] > c] == 0).sum()), f, c) for f in (0, 1) for c in np.arange(0.5, 5))
+    assert (m["errors"], m["feature"], m["threshold"]) == (best[0], "ab"[best[1]], best[2])
+    wrong = ml.stump_predict(df, "i", ml.decision_stump(df, ["a", "b"], "y")).join(df, "i").filter("predicted <> y").count()
+    assert wrong == m["errors"]
+    flat = ml.decision_stump(df, "k", "y").first()
+    assert flat["threshold"] is None and flat["left"] == flat["right"] == int(y.sum() > 40)
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     d = spark.range(20000)
     f = lambda x: {r["id"]: r["u"] for r in x.select("id", E.uniform(3, F.col("id")).alias("u")).collect()}
