@@ -1,12 +1,10 @@
-"""Shared plumbing of the pipeline operators: scratch tables, code shipping, Arrow batches."""
+"""Shared plumbing of the pipeline operators: code shipping, workers' memory, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import math
 import os
-import re
 import sys
 import tempfile
 import uuid
@@ -19,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.scratch import save, scratch_path
+
 #: Text bytes that a Python worker handles at a time; bounds its memory whatever Arrow's batches hold.
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to a worker (a row that is longer goes alone).
 ARROW_BYTES = 4 << 20
 
 _shipped: set[str] = set()
-_scratch: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,47 +46,6 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(out)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one (one machine only)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if base is None:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="gneiss-shared-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _scratch:
-        try:
-            drop_scratch(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before the interpreter
-            continue
-
-
 def settle() -> None:
     """In a worker, once: one heap for all threads, whose large blocks go back to the system as soon as they are freed."""
     if "_libc" in globals():
