@@ -8,7 +8,13 @@ The decoder reads constant, verbatim, fixed and LPC subframes, wasted bits, Rice
 and all stereo modes. It checks each header's CRC-8, each frame's CRC-16, sample counts and the stream's MD5, and raises
 ValueError on damage. The encoder writes mono streams (8 or 16 bits) with constant, fixed or order-4 LPC subframes.
 
-Null or empty payloads: the media column of a null or empty text holds 64 zero samples (see pad64).
+Decoded streams are written as a table of PCM blocks, each with the sample offset at which it begins, and samples are read
+back from the blocks that hold them. The FLAC streams of texts are about 1.6 times as large as the texts' own Parquet and are
+not written; a row has the stream's length and digest.
+
+Null or empty texts: a payload of 64 zero bytes (see pad64). Every row has a stream of its own, whether its id is null,
+repeated or not. Empty tables give empty results. Columns other than id and text are not read, so none can clash. A text is
+coded whole: its worker holds some 75 times its bytes, so texts of tens of MB need larger workers.
 """
 
 from __future__ import annotations
@@ -20,8 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gneiss.llm.common import column, flat, lean, pieces, ship, two_columns
+from gneiss.llm.common import column, flat, lean, pieces, save, ship, two_columns
 
 BLOCK, RATE, LPC_ORDER, PRECISION = 1024, 8000, 4, 12
 #: Payload bytes that are coded at a time in one worker.
@@ -508,39 +515,66 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return two_columns(df, id_col, text_col).mapInArrow(lean(_encode), "id long, n_bytes long, media binary")
 
 
+STORED = "id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, n_samples: int, pcm: binary>>"
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "media", BATCH_BYTES):
         media = column(b, "media").to_pylist()
         samples, blocks = decode(media)
-        ids, rows = column(b, "id").to_pylist(), []
-        for i, s, where in zip(ids, samples, blocks, strict=True):
-            rows += [(i, k, at, n, s[at : at + n].astype("<i2").tobytes()) for k, (at, n) in enumerate(where)]
-        yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "block", "sample_offset", "n_samples", "pcm"])
+        raw = [s.astype("<i1" if read_metadata(m)["bits"] <= 8 else "<i2") for m, s in zip(media, samples, strict=True)]
+        rows = [(at, n, r[at : at + n].tobytes()) for r, where in zip(raw, blocks, strict=True) for at, n in where]
+        cols = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+        ends = np.concatenate([[0], np.cumsum([len(where) for where in blocks])]).astype(np.int32)
+        own = [pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media])]
+        nested = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(cols, ["sample_offset", "n_samples", "pcm"]))
+        yield pa.record_batch([column(b, "id"), column(b, "n_bytes"), *own, nested], names=["id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(id, block, sample_offset, n_samples, pcm): decoded 16-bit little-endian blocks; media has (id, media), not null."""
+def write_pcm(media: DataFrame) -> DataFrame:
+    """Decodes and verifies each stream of (id, n_bytes, media) and writes its PCM blocks (8 or 16 bits, little-endian) to the shared folder; returns the written table."""
     ship(media.sparkSession)
-    return media.select("id", "media").mapInArrow(lean(_blocks), "id long, block int, sample_offset long, n_samples int, pcm binary")
+    return save(media.select("id", "n_bytes", "media").mapInArrow(lean(_blocks), STORED), "pcm", compression="zstd")
+
+
+def pcm_blocks(stored: DataFrame) -> DataFrame:
+    """(id, block, sample_offset, n_samples, pcm): one row per written block."""
+    return stored.select("id", F.posexplode("blocks").alias("block", "b")).select("id", "block", "b.*")
+
+
+def pcm_range(stored: DataFrame, start: int, count: int) -> DataFrame:
+    """(id, pcm): samples [start, start + count) of each row, fewer where it ends, put together from the blocks that hold them alone."""
+    held = F.filter("blocks", lambda b: (b["sample_offset"] < start + count) & (b["sample_offset"] + b["n_samples"] > start))
+    first = F.get("held", F.lit(0))
+    width = F.coalesce((F.length(first["pcm"]) / first["n_samples"]).cast("int"), F.lit(1))
+    joined = F.aggregate("held", F.lit(b""), lambda acc, b: F.concat(acc, b["pcm"]))
+    skip = F.coalesce((F.lit(start) - first["sample_offset"]).cast("int"), F.lit(0))
+    return stored.select("id", held.alias("held")).select("id", F.substring(joined, skip * width + 1, width * count).alias("pcm"))
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "media", BATCH_BYTES):
-        media = column(b, "media").to_pylist()
-        samples, blocks = decode(media)
-        rows = []
-        for m, s, where in zip(media, samples, blocks, strict=True):
+    for b in batches:
+        blocks, rows = column(b, "blocks"), []
+        inner = blocks.flatten()
+        at, n = (inner.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+        buf, off = flat(inner.field(2))
+        ends = np.concatenate([[0], np.cumsum(blocks.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if (at[x:y] != np.cumsum(n[x:y]) - n[x:y]).any() or (np.diff(off[x : y + 1]) != n[x:y]).any():
+                raise ValueError("a PCM block is not where its sample offset puts it")
+            s = buf[off[x] : off[y]].view(np.int8).astype(np.int64)
             payload = (s + 128).astype(np.uint8).tobytes()
-            text = f"blocks={len(where)};peak={int(np.abs(s).max())};crossings={int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))};energy={int(np.dot(s, s))}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), text))
-        cols = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-        yield pa.record_batch([column(b, "id"), column(b, "n_bytes"), *cols], names=[f.split()[0] for f in FEATURES.split(", ")])
+            text = f"blocks={y - x};peak={int(np.abs(s).max())};crossings={int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))};energy={int(np.dot(s, s))}"
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), text))
+        size, sha, crc, feature = (pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string())))
+        cols = [column(b, "id"), column(b, "n_bytes"), size, sha, crc, column(b, "media_bytes"), column(b, "media_sha256"), feature]
+        yield pa.record_batch(cols, names=[f.split()[0] for f in FEATURES.split(", ")])
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Decodes and verifies each stored stream and returns digests and features of what was read back."""
-    ship(media.sparkSession)
-    return media.mapInArrow(lean(_features), FEATURES)
+def media_features(stored: DataFrame) -> DataFrame:
+    """Digests and features of texts, from the written 8-bit PCM blocks of their streams."""
+    ship(stored.sparkSession)
+    return stored.mapInArrow(lean(_features), FEATURES)

@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.encode_texts(table(spark, sf_dir, "documents")))
+    return flac.media_features(flac.write_pcm(flac.encode_texts(table(spark, sf_dir, "documents"))))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gneiss.llm import exact_dedup, flac, packing
 from gneiss.llm.queries import tokenizer_path
@@ -95,15 +96,39 @@ def test_flac_stereo_partitions_escapes_wasted_bits(mode):
 
 
 def test_flac_query_columns(spark):
-    rows = {r["doc_id"]: r for r in flac.media_features(flac.encode_texts(docs(spark))).collect()}
+    """Every column beside plain loops over the padded bytes; a stream does not depend on the texts that are coded with it."""
+    stored = flac.write_pcm(flac.encode_texts(docs(spark)))
+    rows = {r["doc_id"]: r for r in flac.media_features(stored).collect()}
     for i, t in TEXTS:
         raw = (t or "").encode()
         pad = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
-    blocks = flac.pcm_blocks(flac.encode_texts(docs(spark))).filter("id = 5").orderBy("sample_offset").collect()
-    assert [b["sample_offset"] for b in blocks] == list(range(0, 70016, 1024))
-    assert flac.media_features(flac.encode_texts(docs(spark, []))).count() == 0
+        s = [x - 128 for x in pad]
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(s, s[1:], strict=False))
+        assert r["feature"] == f"blocks={-(-len(pad) // 1024)};peak={max(map(abs, s))};crossings={crossings};energy={sum(x * x for x in s)}"
+        (media,) = flac.encode([np.array(s)])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+    assert rows[5]["media_sha256"] == rows[6]["media_sha256"] and rows[3]["media_sha256"] == rows[4]["media_sha256"]
+    assert flac.media_features(flac.write_pcm(flac.encode_texts(docs(spark, [])))).count() == 0
+
+
+def test_pcm_blocks_are_seekable(spark):
+    rng = np.random.default_rng(3)
+    xs = {1: rng.integers(-128, 128, 5000), 2: rng.integers(-128, 128, 64), None: np.zeros(1024, int)}
+    wide = np.cumsum(rng.integers(-200, 201, 2500)).clip(-32768, 32767)
+    rows = [(i, len(x), flac.encode([x])[0]) for i, x in xs.items()] + [(2, 2500, flac.encode([wide], 16)[0])]
+    stored = flac.write_pcm(spark.createDataFrame(rows, "id long, n_bytes long, media binary").withColumn("blocks", F.lit(1)))
+    own = [(b["sample_offset"], b["n_samples"]) for b in flac.pcm_blocks(stored).filter("id = 1").orderBy("block").collect()]
+    assert own == [(0, 1024), (1024, 1024), (2048, 1024), (3072, 1024), (4096, 904)]
+    raw = [(i, x.astype("<i1").tobytes(), 1) for i, x in xs.items()] + [(2, wide.astype("<i2").tobytes(), 2)]
+    for start, count in ((0, 10), (1000, 1100), (1024, 1024), (2047, 2), (4990, 500), (6000, 5)):
+        got = sorted((str(r["id"]), bytes(r["pcm"])) for r in flac.pcm_range(stored, start, count).collect())
+        assert got == sorted((str(i), x[start * w : (start + count) * w]) for i, x, w in raw)
+    damaged = bytearray(rows[0][2])
+    damaged[-900] ^= 16
+    with pytest.raises(Exception, match="differs|residual|sync|reserved|seek table"):
+        flac.write_pcm(spark.createDataFrame([(1, 5000, bytes(damaged))], "id long, n_bytes long, media binary"))
 
 
 @pytest.mark.parametrize("size", [16, 1])
