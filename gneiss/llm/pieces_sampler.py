@@ -59,15 +59,38 @@ class Lattices:
         h = self._roll(np.frombuffer(b"".join(known), np.uint8), np.cumsum(n) - n, n)
         ids = np.array([found.get(k, -1) for k in known])
         rank = np.array([-sp.get_score(int(i)) if i >= 0 else 0 for i in ids])
-        order = np.argsort(h)
-        self.hash, self.id, self.logp = h[order], ids[order], (-alpha * np.log(2 + np.maximum(rank, 0)))[order]
-        self.more = np.array([k in inner for k in known])[order]
+        self._place(h, ids, -alpha * np.log(2 + np.maximum(rank, 0)), np.array([k in inner for k in known]))
         self.byte_logp = -alpha * np.log(BYTE_RANK)
         self.size = np.array([len(x) for x in self.text])
         self.begin = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self._clear()
 
+    def _place(self, h: np.ndarray, ids: np.ndarray, logp: np.ndarray, more: np.ndarray) -> None:
+        """Open addressing by the hash's low bits, at most one slot in eight taken; the entry after the last stands for an empty slot."""
+        self.mask = np.uint64((1 << (8 * len(h)).bit_length()) - 1)
+        self.slot = np.full(int(self.mask) + 1, len(h), np.int32)
+        at, left = h & self.mask, np.arange(len(h))
+        while len(left):
+            free = self.slot[at[left]] == len(h)
+            self.slot[at[left[free]]] = left[free]
+            left = left[self.slot[at[left]] != left]
+            at[left] = (at[left] + np.uint64(1)) & self.mask
+        self.hash, self.id = np.append(h, np.uint64(0)), np.append(ids, -1)
+        self.logp, self.more = np.append(logp, 0.0), np.append(more, False)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash; the empty one where there is none."""
+        empty = len(self.hash) - 1
+        at = h & self.mask
+        found = self.slot[at]
+        open_ = np.flatnonzero((found != empty) & (self.hash[found] != h))
+        while len(open_):
+            at[open_] = (at[open_] + np.uint64(1)) & self.mask
+            found[open_] = self.slot[at[open_]]
+            open_ = open_[(found[open_] != empty) & (self.hash[found[open_]] != h[open_])]
+        return found
+
     @staticmethod
     def _roll(buf: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         h = np.zeros(len(start), np.uint64)
@@ -98,9 +121,8 @@ class Lattices:
             live = left[at] >= size
             at, acc = at[live], acc[live]
             acc = mix(acc * M3 + buf[at + size - 1].astype(np.uint64) + np.uint64(1))
-            hit, p = self._in(self.hash, acc)
-            more = hit & self.more[p]
-            hit &= self.id[p] >= 0
+            p = self._find(acc)
+            more, hit = self.more[p], self.id[p] >= 0
             begin.append(at[hit])
             length.append(np.full(int(hit.sum()), size))
             ids.append(self.id[p[hit]])
@@ -119,26 +141,29 @@ class Lattices:
         node = begin + u  # each unit has one node more than bytes
         to = node + length
         depth = begin + length - off[u]
-        order = np.lexsort((ids, to, depth))
+        order = np.argsort((to << len(self.text).bit_length()) | ids)  # no two edges share both
         node, to, ids, logp, depth = node[order], to[order], ids[order], logp[order], depth[order]
+        small = np.uint16 if int(n.max()) < 1 << 16 else np.int64  # short numbers are sorted by digits
+        level = np.argsort(depth.astype(small), kind="stable")
+        by_node, by_to, by_logp, depth = node[level], to[level], logp[level], depth[level]
         alpha = np.full(len(buf) + len(n), -np.inf)
         alpha[off[:-1] + np.arange(len(n))] = 0.0
         cut = np.searchsorted(depth, np.arange(int(n.max()) + 2))
-        p = np.zeros(len(to))
+        q = np.zeros(len(to))
         for d in range(1, int(n.max()) + 1):
             s = slice(cut[d], cut[d + 1])
             if cut[d] == cut[d + 1]:
                 continue
-            score = logp[s] + alpha[node[s]]
-            heads = np.flatnonzero(np.concatenate([[True], to[s][1:] != to[s][:-1]]))
+            score = by_logp[s] + alpha[by_node[s]]
+            heads = np.flatnonzero(np.concatenate([[True], by_to[s][1:] != by_to[s][:-1]]))
             top = np.maximum.reduceat(score, heads)
             group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(score))))
             w = np.exp(score - top[group])
             total = np.add.reduceat(w, heads)
-            alpha[to[s][heads]] = top + np.log(total)
-            p[s] = w / total[group]
-        order = np.argsort(to, kind="stable")
-        node, to, ids, p = node[order], to[order], ids[order], p[order]
+            alpha[by_to[s][heads]] = top + np.log(total)
+            q[s] = w / total[group]
+        p = np.empty(len(to))
+        p[level] = q
         heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         size = np.diff(np.append(heads, len(to)))
         # each node's running sums are its own, so that they do not depend on what else is learned at the same time
@@ -169,9 +194,10 @@ class Lattices:
         first = np.searchsorted(start, off)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
         h, where, back = np.unique(span_hashes(buf, start, n), return_index=True, return_inverse=True)
-        if len(self.cdf) + 4 * int(n[where].sum()) > MEMO_EDGES:
-            self._clear()
         new = np.flatnonzero(~self._in(self.known, h)[0]) if len(self.known) else np.arange(len(h))
+        if len(self.cdf) + 4 * int(n[where[new]].sum()) > MEMO_EDGES:
+            self._clear()
+            new = np.arange(len(h))
         if len(new):
             s, m = start[where[new]], n[where[new]]
             ends = np.cumsum(m)
