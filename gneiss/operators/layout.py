@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.errors import ShapeError
@@ -157,3 +158,51 @@ def pad(df: DataFrame, shape: tuple[int, ...], widths: list[tuple[int, int]], va
 
 def diagonal(df: DataFrame, k: int = 0) -> DataFrame:
     return df.filter(F.col("i1") - F.col("i0") == k).select((F.col("i0") if k >= 0 else F.col("i1")).alias("i0"), "v")
+
+
+def atleast(df: DataFrame, rank: int, least: int) -> DataFrame:
+    """Axes of one element up to least (1 to 3): a vector becomes a row, or the middle axis of three; a matrix gets a last axis."""
+    if not 1 <= least <= 3:
+        raise ShapeError(f"at least {least} axes")
+    while rank < least:
+        df = expand_dims(df, rank, 0 if rank < 2 else rank)
+        rank += 1
+    return df
+
+
+def copy_where(target: DataFrame, source: DataFrame, source_shape: tuple[int, ...], shape: tuple[int, ...], where: DataFrame | None = None) -> DataFrame:
+    """target with source's elements, repeated to its shape, wherever the boolean array where (of the same shape) is true."""
+    if broadcast_shape(source_shape, shape) != tuple(shape):
+        raise ShapeError(f"shape {source_shape} does not broadcast to {shape}")
+    if where is not None and dict(where.dtypes)["v"] != "boolean":
+        raise TypeError("the mask has to be boolean")
+    both = zip_map(target, shape, source, source_shape, lambda old, new: F.struct(old.alias("old"), new.alias("new")))
+    if where is None:
+        return both.select(*_axes(len(shape)), F.col("v.new").alias("v"))
+    return zip_map(both, shape, where, shape, lambda p, m: F.when(m, p["new"]).otherwise(p["old"]))
+
+
+def map_cells(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
+    """f of each element, as a column expression (or a Pandas UDF applied to it)."""
+    return df.withColumn("v", f(F.col("v")))
+
+
+def map_indexed(df: DataFrame, rank: int, f: Callable[..., Column]) -> DataFrame:
+    """f(i0, i1, ..., element) of each element."""
+    return df.withColumn("v", f(*[F.col(c) for c in _axes(rank)], F.col("v")))
+
+
+def zip_map(a: DataFrame, a_shape: tuple[int, ...], b: DataFrame, b_shape: tuple[int, ...], f: Callable[..., Column], indexed: bool = False) -> DataFrame:
+    """f(x, y) of two arrays' elements under broadcasting, or f(i0, ..., x, y). An operand that has the result's shape is not
+    repeated: the other is joined to it on the axes where that has more than one element."""
+    shape = broadcast_shape(a_shape, b_shape)
+    if tuple(a_shape) != shape and tuple(b_shape) != shape:
+        a, a_shape = broadcast_to(a, a_shape, shape), shape
+    whole, part, part_shape = (a, b, b_shape) if tuple(a_shape) == shape else (b, a, a_shape)
+    lead = len(shape) - len(part_shape)
+    on = [k for k in range(len(shape)) if k >= lead and part_shape[k - lead] == shape[k]]
+    other = part.select(*[F.col(f"i{k - lead}").alias(f"i{k}") for k in on], F.col("v").alias("_w"))
+    d = whole.join(other, [f"i{k}" for k in on]) if on else whole.crossJoin(F.broadcast(other))  # one element
+    x, y = (F.col("v"), F.col("_w")) if whole is a else (F.col("_w"), F.col("v"))
+    axes = _axes(len(shape))
+    return d.select(*axes, f(*([F.col(c) for c in axes] if indexed else []), x, y).alias("v"))

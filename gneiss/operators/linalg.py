@@ -261,20 +261,22 @@ def batched(df: DataFrame, kernel: str, other: DataFrame | None = None) -> DataF
     return rows.mapInArrow(run, "batch bigint, i0 bigint, i1 bigint, v double")
 
 
-def solve_normal(df: DataFrame, features: list[str], target: str, ridge: float = 0.0) -> np.ndarray:
+def solve_normal(df: DataFrame, features: list[str], target: str, ridge: float = 0.0, weight: str | None = None) -> np.ndarray:
     """Coefficients (intercept first, not penalized) from one pass of centred cross products, solved on the driver (k x k)."""
     cols = [*features, target]
-    means = df.agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_n")).first()
-    if not means["_n"]:
-        raise NumericError("no rows")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    bad = F.count_if(w.isNull() | F.isnan(w) | (w < 0) | (w == float("inf"))).alias("_bad")
+    means = df.agg(F.sum(w).alias("_n"), bad, *[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(c) for c in cols]).first()
+    if not means["_n"] or means["_bad"]:
+        raise NumericError("no rows, or weights that are not finite and at least 0 with a positive sum")
     c = [F.col(x) - F.lit(means[x]) for x in cols]
     k = len(features)
-    row = df.agg(*[F.sum(c[i] * c[j]).alias(f"_{i}_{j}") for i in range(k) for j in range(i, k + 1)]).first()
+    row = df.agg(*[F.sum(w * c[i] * c[j]).alias(f"_{i}_{j}") for i in range(k) for j in range(i, k + 1)]).first()
     g = np.array([[row[f"_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge * np.eye(k)
     if np.linalg.matrix_rank(g) < k:
         raise NumericError("rank deficient")
-    w = np.linalg.solve(g, np.array([row[f"_{i}_{k}"] for i in range(k)]))
-    return np.concatenate([[means[target] - sum(a * means[f] for a, f in zip(w, features, strict=True))], w])
+    x = np.linalg.solve(g, np.array([row[f"_{i}_{k}"] for i in range(k)]))
+    return np.concatenate([[means[target] - sum(a * means[f] for a, f in zip(x, features, strict=True))], x])
 
 
 def least_squares(df: DataFrame, columns: list[str], target: str) -> np.ndarray:

@@ -102,9 +102,9 @@ def gini_split(df: DataFrame, value: str, label: str, threshold: float) -> DataF
     return c.select("l", "r", g("l", "l1").alias("gini_left"), g("r", "r1").alias("gini_right"), ((F.col("l") * g("l", "l1") + F.col("r") * g("r", "r1")) / (F.col("l") + F.col("r"))).alias("gini"))
 
 
-def linear_regression(df: DataFrame, features: list[str], target: str, ridge: float = 0.0) -> DataFrame:
-    """One row per coefficient; the intercept's term is (intercept)."""
-    return _terms(df, features, solve_normal(df, features, target, ridge))
+def linear_regression(df: DataFrame, features: list[str], target: str, ridge: float = 0.0, weight: str | None = None) -> DataFrame:
+    """One row per coefficient; the intercept's term is (intercept). Rows count by their weight, where one is named."""
+    return _terms(df, features, solve_normal(df, features, target, ridge, weight))
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import exprs as E
-from gneiss.operators import layout, linalg, ml, ordering, stats
+from gneiss.operators import estimators, layout, linalg, ml, ordering, stats
 from gneiss.sources import arrays
 from gneiss.streaming.moments import windowed_moments
 
@@ -215,6 +215,10 @@ WHOLE = {
     "cumsum_axis": (lambda m, s: ordering.cumulative(m, "i0", "v", "run", block=64, lane=["i1"]).select("i0", "i1", r(F.col("run"), 3).alias("v")), f"SELECT i0, i1, round(sum(v) OVER (PARTITION BY i1 ORDER BY i0),3) AS v FROM {W}"),
     "sort_axis": (lambda m, s: ordering.sort(m, ["i1"], "i0", "v"), f"SELECT row_number() OVER (PARTITION BY i1 ORDER BY v)-1 AS i0, i1, v FROM {W}"),
     "norms": (lambda m, s: linalg.norms(m).select(*[r(F.col(c), 4).alias(c) for c in ("fro", "l1", "inf")]), f"SELECT round(sqrt(sum(v*v)),4) AS fro, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {W} GROUP BY i1)) AS l1, (SELECT round(max(s),4) FROM (SELECT sum(abs(v)) s FROM {W} GROUP BY i0)) AS inf FROM {W}"),
+    "atleast_3d": (lambda m, s: layout.atleast(m, 2, 3), f"SELECT i0, i1, CAST(0 AS BIGINT) AS i2, v FROM {W}"),
+    "copyto_where": (lambda m, s: layout.copy_where(m, arrays.full(m.sparkSession, (40,), F.col("i0") * 1.0), (40,), s, layout.map_cells(m, lambda v: v > 100)), f"SELECT i0, i1, CASE WHEN v > 100 THEN i1 * 1.0 ELSE v END AS v FROM {W}"),
+    "map_indexed": (lambda m, s: layout.map_indexed(layout.map_cells(m, lambda v: v * 2), 2, lambda i, j, v: r(v - i + j)), f"SELECT i0, i1, round(v * 2 - i0 + i1, 6) AS v FROM {W}"),
+    "zip_map": (lambda m, s: layout.zip_map(arrays.full(m.sparkSession, (s[0], 1), F.col("i0") * 1.0), (s[0], 1), m, s, lambda x, y: r(x - y)), f"SELECT i0, i1, round(i0 - v, 6) AS v FROM {W}"),
     "select_nonzero": (lambda m, s: layout.reshape(m, s, (s[0], -1)).filter("v <> 0 and v > 250"), f"SELECT i0, i1, v FROM {W} WHERE v <> 0 AND v > 250"),
 }
 for _name, (_f, _sql) in WHOLE.items():
@@ -326,6 +330,14 @@ def ridge(spark, sf):
     return ml.linear_regression(t(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", 1000.0).select("term", r(F.col("coefficient"), 3).alias("coefficient"))
 
 
+@query("""WITH m AS (SELECT sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my FROM (SELECT l_linenumber AS w, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem)),
+c AS (SELECT sum(l_linenumber*(l_quantity-mx)*(l_extendedprice-my))/(sum(l_linenumber*(l_quantity-mx)*(l_quantity-mx))+1000) AS b, any_value(mx) AS mx, any_value(my) AS my FROM lineitem, m)
+SELECT '(intercept)' AS term, round(my-b*mx,3) AS coefficient FROM c UNION ALL SELECT 'l_quantity', round(b,3) FROM c""")
+def ridge_weighted(spark, sf):
+    model = estimators.RidgeRegression("l_orderkey", ["l_quantity"], "l_extendedprice", l2_regularization=1000.0).fit_weighted(t(spark, sf, "lineitem"), "l_linenumber").model
+    return model.select("term", r(F.col("coefficient"), 3).alias("coefficient"))
+
+
 DIST = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE-z[2]::DOUBLE)*(z[1]::DOUBLE-z[2]::DOUBLE)))"
 
 
