@@ -4,7 +4,8 @@ A document's set are the hashes of its distinct shingles. Its sketch has one par
 a block's parities are kept as the XOR of the hashes in it, which is equal when they are. A shingle that only one of two
 sets has changes one block, so the number of differing blocks (a Hamming distance) is at most the symmetric difference,
 which at similarity t is at most (1-t)/(1+t) of the sizes' sum. By pigeonhole, with more blocks than that one is equal:
-sets of a size band (and the band below) join on (block, XOR). Some spare blocks let a set leave out its empty ones.
+sets of a size band (and the band below) join on (block, XOR). Some spare blocks let a set leave out its empty ones, which
+unrelated sets share: without this a star would grow with the input, and its pairs with the square.
 
 1. Sets that are identical are one class, whose least document stands for it.
 2. Packed keys meet in groups; each key links its documents to the least one. What a document leads so is its star, and
@@ -42,6 +43,8 @@ from gneiss.llm.text import LOWER, M1, M3, mix, span_hashes, split, window_hashe
 GROUP_MB, CELL, SKETCH_CELL = 4, 1024, 4096
 #: Text bytes that become shingles at a time: less than other operators take, for a shingle has about twenty numbers here.
 SHINGLED_BYTES = 3 << 20
+#: Spare blocks per hundred; enough for nearly all empty blocks of a band's smallest partners.
+SPARE = 12
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +87,16 @@ def band_edges(most: int, percent: int) -> np.ndarray:
 def band_blocks(edges: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Per band: blocks, and how many of them a set may leave out because they are empty."""
     worst = (100 - percent) * 2 * (np.append(edges[1:], edges[-1] * 2) - 1) // (100 + percent)
-    spare = np.where(worst > 0, -(-3 * worst // 100) + 1, 0)
+    spare = np.where(worst > 0, -(-SPARE * worst // 100) + 1, 0)
     return worst + 1 + spare, spare
 
 
 def sketch_keys(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of every block of every set, in its own band and as the smaller partner in the next."""
+    """(set, key) of the blocks of every set, in its own band and as the smaller partner in the next.
+
+    A set leaves out its first empty blocks, as many as are spare. Similar sets have more equal blocks than that; one that is
+    not empty or, where all are empty, the last of them is left out by neither.
+    """
     n = np.diff(first)
     edges = band_edges(int(n.max()) if len(n) else 0, percent)
     blocks, spare = band_blocks(edges, percent)
@@ -110,9 +117,11 @@ def sketch_keys(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
             x[slot[head]] = np.bitwise_xor.reduceat(v, head)
             full[slot[head]] = True
         who = np.repeat(np.arange(len(n)), count)
-        empty = count - np.bincount(who[full], minlength=len(n))
-        keep = full | (empty > spare[b])[who]
         which = np.arange(begin[-1]) - begin[who]
+        empty = np.flatnonzero(~full)  # by set, in order
+        nth = np.arange(len(empty)) - np.searchsorted(who[empty], np.arange(len(n)))[who[empty]]
+        keep = full
+        keep[empty[nth >= spare[b[who[empty]]]]] = True
         sets.append(who[keep])
         keys.append(mix(x[keep] ^ mix((b[who[keep]] * (1 << 32) + which[keep]).astype(np.uint64))))
     return np.concatenate(sets), np.concatenate(keys)

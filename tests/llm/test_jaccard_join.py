@@ -56,6 +56,34 @@ def test_against_brute_force(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_hardly_meet(percent):
+    """Sets without a common shingle share keys of empty blocks only: a few of all pairs, at every size within a band."""
+    rng, met, n = np.random.default_rng(3), 0, 200
+    for size in range(360, 460, 10):
+        first = np.arange(n + 1) * size
+        owner, key = jj.sketch_keys(np.sort(rng.integers(0, 1 << 63, (n, size)).astype(np.uint64)).ravel(), first, percent)
+        c = np.unique(key, return_counts=True)[1]
+        met += int((c * (c - 1) // 2).sum())
+    assert met < 0.05 * 10 * n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_similar_sets_share_a_key(percent):
+    """Pairs at the bound, of sizes from few shingles to many, whatever blocks they leave out."""
+    rng = np.random.default_rng(percent)
+    for _ in range(1500):
+        n = int(rng.choice([1, 2, 3, 4, 5, 7, 10, 20, 40, 90, 300, 700]))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        lost = int(rng.integers(0, n - -(-percent * n // 100) + 1))
+        b = a[lost:]
+        more = (100 * len(b) // percent) - n  # the most new ones at which the similarity still reaches the bound
+        b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, max(0, more)).astype(np.uint64)]))
+        assert jj.similar(a, b, percent)
+        owner, key = jj.sketch_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+        assert len(np.intersect1d(key[owner == 0], key[owner == 1]))
+
+
 def test_large_components_use_several_cells(spark):
     rng = np.random.default_rng(9)
     base = [f"w{x}" for x in range(60)]
