@@ -8,9 +8,9 @@ contexts and by w to those that count pairs. Which words are split follows from
 things are counted, not what. Groups write sorted arrays to the shared folder and send on what they have of each word;
 word groups add that up. Discounts come from counts of counts over all groups.
 
-Contexts that were seen less than `min_context` times are not stored and count as unseen (their trigrams still count for
-discounts, pairs and words): with 1 nothing is left out; the default 2 leaves out contexts with a single trigram each.
-Probabilities sum to one over the vocabulary and the unknown word in both cases.
+Every context is stored and scored by default. `min_context` above 1 leaves out contexts that were seen less often, which
+then count as unseen (their trigrams still count for discounts, pairs and words). Probabilities sum to one over the
+vocabulary and the unknown word in all cases.
 
 Words are told apart by 64-bit hashes. Stored keys are 40 bits within a group of bounded size, so about one of a million
 look-ups of an unseen pair, context or trigram finds another's count. Null and empty texts are the end token alone. Unknown
@@ -331,7 +331,7 @@ def split_words(texts: DataFrame, groups: int) -> Layout:
     return Layout(groups, words[m], np.minimum(ways[m], np.uint64(groups)), words[often])
 
 
-def train(texts: DataFrame, groups: int, min_context: int = 2) -> tuple[str, dict]:
+def train(texts: DataFrame, groups: int, min_context: int = 1) -> tuple[str, dict]:
     """Counts (id, text) rows into arrays under a new folder; returns it with the model's sums and discounts."""
     folder, layout = scratch_path(texts.sparkSession, "ngrams"), split_words(texts, groups)
     # as many partitions as groups: a task reads a few groups, however large the input
@@ -457,7 +457,7 @@ def probabilities(m: dict, tri: np.ndarray, stats: np.ndarray, pair: np.ndarray,
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_context: int = 2) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_context: int = 1) -> DataFrame:
     """Trains on rows with crc32(id) mod 10 <> 0 (not on null ids) and scores all rows; perplexity is 10 ^ (-score / n_tokens)."""
     ship(df.sparkSession)
     docs = two_columns(df, id_col, text_col).withColumn("held_out", F.coalesce(crc32_mod("id", 10) == 0, F.lit(False)))

@@ -92,6 +92,14 @@ def test_repeated_rows_count_each(spark):
     assert one["train_tokens"] == 2 * train
 
 
+def test_contexts_seen_once_are_scored(spark):
+    """By default no trigram is left out, whatever its context's count."""
+    want, cut = brute(made(), 1), brute(made(), 2)
+    assert sum(not math.isclose(want[i][4], cut[i][4], rel_tol=1e-3) for i in want) > 20
+    for r in kn.score(spark.createDataFrame(made(), "doc_id long, text string")).collect():
+        assert math.isclose(r["score"], want[r["doc_id"]][4], abs_tol=1e-9, rel_tol=1e-9)
+
+
 def test_counts_beyond_a_byte():
     few, many = kn.small_counts(np.array([1, 255, 3, 254, 10**6]))
     assert few.tolist() == [1, 255, 3, 254, 255] and many.tolist() == [[1, 255], [4, 10**6]]
