@@ -46,6 +46,8 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 GROUP_MB, COUNTED_BYTES, MAPS = 8, 12 << 20, 4096
 #: Texts, and characters of each, from which the words to be split and the common ones are chosen; most of the latter.
 SAMPLE_TEXTS, SAMPLE_CHARS, COMMON = 1000, 20000, 1 << 16
+#: Keys of an array from which on it is stored with a table of where each value of their first 16 bits begins (262 kB).
+TABLE_KEYS = 1 << 17
 LOW8, KEY40 = np.uint64(255), np.uint64((1 << 40) - 1)
 
 
@@ -116,14 +118,15 @@ def _count(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
 
 
 def numbered(seq: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, number of each token, places in common of the words that are there): small numbers for frequent words, the common ones first."""
-    words, w, n = np.unique(seq, return_inverse=True, return_counts=True)
+    """(words, number of each token, places in common of the words that are there): the common words first, the most frequent ahead, then the others by hash."""
+    words, w = np.unique(seq, return_inverse=True)
     by = np.argsort(common)
     p = by[np.minimum(np.searchsorted(common, words, sorter=by), len(common) - 1)] if len(common) else np.zeros(len(words), np.int64)
     known = common[p] == words if len(common) else np.zeros(len(words), bool)
-    order = np.lexsort((np.where(known, p, -n), ~known))
-    number = np.empty(len(n), np.uint64)
-    number[order] = np.arange(len(n), dtype=np.uint64)
+    common_at = np.flatnonzero(known)
+    order = np.concatenate([common_at[np.argsort(p[known])], np.flatnonzero(~known)])
+    number = np.empty(len(words), np.uint64)
+    number[order] = np.arange(len(words), dtype=np.uint64)
     return words[order], number[w], np.sort(p[known])
 
 
@@ -162,7 +165,10 @@ def _counted(buf: np.ndarray, off: np.ndarray, layout: Layout) -> list[tuple]:
             named = np.zeros(len(layout.common), bool)
             named[common[own[:k]]] = True
             at = heads(v[i])
-            parts = [np.packbits(named).tobytes(), pack(words[own[k:]]), pack(number[v[i[at]]], np.diff(np.append(at, len(i)))), pack(number[u[i]], number[w[i]], c[i])]
+            x = number[u[i]]  # rises within a middle word, as words do: sent as differences
+            steps = np.diff(x, prepend=0)
+            steps[at] = x[at]
+            parts = [np.packbits(named).tobytes(), pack(np.diff(words[own[k:]], prepend=np.uint64(0))), pack(number[v[i[at]]], np.diff(np.append(at, len(i)))), pack(steps, number[w[i]], c[i])]
             rows.append((int(g[i[0]]), kind, 0, z.compress(np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(parts))))
     return rows
 
@@ -175,10 +181,13 @@ def _trigrams(group: pa.Table, kinds: tuple[int, ...], common: np.ndarray) -> tu
             data = z.decompress(packed.as_buffer())
             at = np.cumsum([32, *np.frombuffer(data, "<i8", 4)]).tolist()
             named = np.unpackbits(np.frombuffer(data, np.uint8, at[1] - at[0], at[0]), count=len(common)).astype(bool)
-            words = np.concatenate([common[named], unpack(data[at[1] : at[2]], 1)[0]])
+            words = np.concatenate([common[named], np.cumsum(unpack(data[at[1] : at[2]], 1)[0])])
             first, times = unpack(data[at[2] : at[3]], 2)
-            u, w, c = unpack(data[at[3] :], 3)
-            for x, y in zip(got, (words[u], np.repeat(words[first], times.astype(np.int64)), words[w], c.astype(np.int32)), strict=True):
+            steps, w, c = unpack(data[at[3] :], 3)
+            times, u = times.astype(np.int64), np.cumsum(steps)
+            begin = np.cumsum(times) - times
+            u -= np.repeat(u[begin] - steps[begin], times)
+            for x, y in zip(got, (words[u], np.repeat(words[first], times), words[w], c.astype(np.int32)), strict=True):
                 x.append(y)
     u, v, w, c = ((np.concatenate(x), x.clear())[0] if x else np.zeros(0, np.uint64) for x in got)
     key = pair_key(pair_key(u, v), w)
@@ -202,9 +211,12 @@ def _save(folder: str, name: str, x: np.ndarray) -> None:
 
 
 def _save_keys(folder: str, name: str, key: np.ndarray) -> None:
-    """Sorted 64-bit keys by their upper 40 bits."""
-    _save(folder, f"{name}-high", (key >> np.uint64(32)).astype(np.uint32))
-    _save(folder, f"{name}-low", (key >> np.uint64(24) & LOW8).astype(np.uint8))
+    """Sorted 64-bit keys by their upper 40 bits; of many keys the first 16 of these are told by where the key stands."""
+    key = key >> np.uint64(24)
+    kind, bits = (np.uint16, 16) if len(key) >= TABLE_KEYS else (np.uint32, 0)
+    _save(folder, f"{name}-start", np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(40 - bits)).astype(np.uint32))
+    _save(folder, f"{name}-high", (key >> np.uint64(8)).astype(kind))
+    _save(folder, f"{name}-low", (key & LOW8).astype(np.uint8))
 
 
 def small_counts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,12 +264,15 @@ def _contexts(group: pa.Table, folder: str, layout: Layout, min_context: int) ->
     _save_keys(folder, f"ctx-{g}", ctx[order][at][kept])
     stats = stats[kept]
     some = np.flatnonzero(stats[:, 0] > 1)  # contexts with one trigram have code 0
-    _, first, code = np.unique(pair_key(pair_key(*stats[some, :2].T.astype(np.uint64)), pair_key(*stats[some, 2:].T.astype(np.uint64))), return_index=True, return_inverse=True)
-    codes = np.zeros(len(stats), np.uint16 if len(first) < 1 << 16 else np.uint32)
-    codes[some] = code.ravel() + 1
-    _save(folder, f"ctx-{g}-code", codes)
-    _save(folder, f"ctx-{g}-table", np.concatenate([[[1, 1, 0, 0]], stats[some[first]]]))
-    del order, at, stats, ctx, of
+    _, first, code, n = np.unique(pair_key(pair_key(*stats[some, :2].T.astype(np.uint64)), pair_key(*stats[some, 2:].T.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
+    often = np.argsort(-n, kind="stable")  # frequent statistics have small codes, which take a byte
+    rank = np.empty(len(n), np.int64)
+    rank[often] = np.arange(1, len(n) + 1)
+    codes = np.zeros(len(stats), np.int64)
+    codes[some] = rank[code.ravel()]
+    _save_counts(folder, f"ctx-{g}-code", codes)
+    _save(folder, f"ctx-{g}-table", np.concatenate([[[1, 1, 0, 0]], stats[some[first[often]]]]))
+    del order, at, stats, ctx, of, code, codes
     if split_here:
         tri, u, v, w, c = _trigrams(group, (BOTH, PAIR), layout.common)
     key = pair_key(v, w)
@@ -361,14 +376,14 @@ class Arrays:
         if self.fs.get_file_info(path).type == pafs.FileType.NotFound:
             x = None
         elif isinstance(self.fs, pafs.LocalFileSystem):
-            x = np.load(path, mmap_mode="r")
+            x = np.load(path, mmap_mode="r").view(np.ndarray)
         else:
             with tempfile.NamedTemporaryFile(suffix=".npy") as f:  # unlinked at once; the map keeps it
                 with self.fs.open_input_file(path) as src:
                     while block := src.read(8 << 20):
                         f.write(block)
                 f.flush()
-                x = np.load(f.name, mmap_mode="r")
+                x = np.load(f.name, mmap_mode="r").view(np.ndarray)
         if x is not None and not len(x):
             x = None
         self.open[name] = x
@@ -378,15 +393,21 @@ class Arrays:
 
     def place(self, name: str, q: np.ndarray) -> np.ndarray:
         """Where sorted 40-bit queries stand among the stored keys; -1 where they do not."""
-        high, low = self.get(f"{name}-high"), self.get(f"{name}-low")
+        start, high, low = (self.get(f"{name}-{x}") for x in ("start", "high", "low"))
         if high is None:
             return np.full(len(q), -1)
-        a, b = (q >> np.uint64(8)).astype(np.uint32), (q & LOW8).astype(np.uint8)
-        p, last = np.searchsorted(high, a), len(high) - 1
+        a, b = (q >> np.uint64(8)).astype(high.dtype), (q & LOW8).astype(np.uint8)
+        first, last = (q >> np.uint64(8 * high.itemsize + 8)).astype(np.int64), len(high) - 1
+        p, end = start[first].astype(np.int64), start[first + 1].astype(np.int64)
+        step = 1 << int((end - p).max(initial=0)).bit_length() >> 1
+        while step:  # the keys from start[first] up to p are smaller
+            i = p + step
+            p = np.where((i <= end) & (high[np.minimum(i - 1, last)] < a), i, p)
+            step >>= 1
         out, open_ = np.full(len(q), -1), np.arange(len(q))
         while len(open_):
             i = np.minimum(p[open_], last)
-            same = (high[i] == a[open_]) & (p[open_] <= last)
+            same = (high[i] == a[open_]) & (p[open_] < end[open_])
             hit = same & (low[i] == b[open_])
             out[open_[hit]] = i[hit]
             open_ = open_[same & ~hit]
@@ -435,7 +456,7 @@ def look_up(arrays: Arrays, layout: Layout, u: np.ndarray, v: np.ndarray, w: np.
         p = arrays.place(f"ctx-{k}", q)
         hit = p >= 0
         if hit.any():
-            stats[i[hit]] = arrays.get(f"ctx-{k}-table")[arrays.get(f"ctx-{k}-code")[p[hit]]]
+            stats[i[hit]] = arrays.get(f"ctx-{k}-table")[arrays.counts(f"ctx-{k}-code", p[hit])]
     some = np.flatnonzero(stats[:, 0])
     for k, i, q in by_group(g[some], pair_key(context[some], w[some])):
         tri[some[i]] = arrays.counts(f"tri-{k}", arrays.place(f"tri-{k}", q))

@@ -100,6 +100,53 @@ def test_contexts_seen_once_are_scored(spark):
         assert math.isclose(r["score"], want[r["doc_id"]][4], abs_tol=1e-9, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("n", [0, 1, 1000, kn.TABLE_KEYS - 1, 4 * kn.TABLE_KEYS])
+def test_stored_keys_are_found_and_many_take_four_bytes(tmp_path, monkeypatch, n):
+    """Also where keys share their first 16, 32 or all of their 40 bits, and at both ends."""
+    monkeypatch.setattr(kn, "_tag", lambda: "0")
+    rng = np.random.default_rng(n)
+    key = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    key[: n // 10] = (7 << 48) + (key[: n // 10] >> np.uint64(16))
+    key[n // 10 : n // 8] = (9 << 32) + (key[n // 10 : n // 8] >> np.uint64(32))
+    key[n // 8 : n // 8 + 2] = np.array([0, (1 << 64) - 1], np.uint64)[:n]
+    key.sort()
+    kn._save_keys(f"file://{tmp_path}", "x", key)
+    short = np.unique(key >> np.uint64(24))
+    q = np.unique(np.concatenate([short, rng.integers(0, 1 << 40, 1000, dtype=np.uint64), short[:5000] + np.uint64(1)]) & kn.KEY40)
+    p = kn.Arrays(f"file://{tmp_path}").place("x", q)
+    assert ((p >= 0) == np.isin(q, short)).all()
+    assert (key[p[p >= 0]] >> np.uint64(24) == q[p >= 0]).all()
+    if n > kn.TABLE_KEYS:
+        assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 4 * n
+
+
+def test_large_groups_equal_brute_force(spark, monkeypatch):
+    """One group of more trigrams than TABLE_KEYS."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.exponential(1, 1000) ** 3 * 100)) for i in range(250)]
+    monkeypatch.setattr(kn, "buckets", lambda *a: 1)
+    want = brute(rows, 1)
+    for r in kn.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert math.isclose(r["score"], want[r["doc_id"]][4], rel_tol=1e-9)
+    train = [["<s>", "<s>", *tokens(t)] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert len({g for s in train for g in zip(s, s[1:], s[2:], strict=False)}) > kn.TABLE_KEYS
+
+
+def test_messages_hold_differences():
+    """What a task sends comes back whole, and takes less than eight bytes for each word that is not common."""
+    rng = np.random.default_rng(7)
+    text = " ".join(f"w{int(x)}" for x in rng.integers(0, 40000, 60000)).encode()
+    buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    common = kn.words_of(np.frombuffer(b"w5 w1 nowhere w3", np.uint8), np.array([0, 16]))[0][:4]
+    rows = kn._counted(buf, off, kn.Layout(1, np.zeros(0, np.uint64), np.zeros(0, np.uint64), common))
+    _, u, v, w, c = kn._trigrams(kn.pa.table({"kind": [r[1] for r in rows], "data": kn.pa.array([r[3] for r in rows], kn.pa.binary())}), (kn.BOTH,), common)
+    seq, first = kn.words_of(buf, off)
+    want = collections.Counter(zip(*(x.tolist() for x in (*kn.before(seq, first, kn.BEGIN), seq)), strict=True))
+    assert dict(zip(zip(u.tolist(), v.tolist(), w.tolist(), strict=True), c.tolist(), strict=True)) == want
+    data = kn.zstandard.ZstdDecompressor().decompress(rows[0][3])
+    assert len(common) < len(set(seq.tolist())) and int(np.frombuffer(data, "<i8", 4)[1]) < 7.5 * len(set(seq.tolist()))
+
+
 def test_counts_beyond_a_byte():
     few, many = kn.small_counts(np.array([1, 255, 3, 254, 10**6]))
     assert few.tolist() == [1, 255, 3, 254, 255] and many.tolist() == [[1, 255], [4, 10**6]]
