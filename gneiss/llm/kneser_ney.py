@@ -427,19 +427,21 @@ class Arrays:
         return x
 
 
-def by_group(g: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(group, places, sorted 40-bit keys) of the queries of each group."""
+def by_group(g: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, places, how many of them each key has, sorted different 40-bit keys) of the queries of each group."""
     q = (g.astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
     order = np.argsort(q)
-    for lo, hi in spans(g[order]):
-        i = order[lo:hi]
-        yield int(g[i[0]]), i, q[i] & KEY40
+    q = q[order]
+    at = heads(q)
+    q, at = q[at], np.append(at, len(order))
+    for lo, hi in spans(q >> np.uint64(40)):
+        yield int(q[lo] >> np.uint64(40)), order[at[lo] : at[hi]], np.diff(at[lo : hi + 1]), q[lo:hi] & KEY40
 
 
 def look_up(arrays: Arrays, layout: Layout, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
     """(trigram counts, contexts' statistics, pairs' counts, statistics of each previous word, of each word)."""
     groups = layout.groups
-    words = np.unique(np.append(w, BEGIN))
+    words, number = np.unique(np.concatenate([v, w]), return_inverse=True)
     facts, g = np.zeros((len(words), 6), np.int64), word_group(words, groups)
     for k in np.unique(g).tolist():
         i = np.flatnonzero(g == k)
@@ -449,18 +451,18 @@ def look_up(arrays: Arrays, layout: Layout, u: np.ndarray, v: np.ndarray, w: np.
             p[key[p] != words[i]] = -1
             facts[i] = np.stack([arrays.counts(f"word-{k}-{name}", p) for name in WORD], axis=1)
     pair, tri, stats = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), np.zeros((len(w), 4), np.int64)
-    for k, i, q in by_group(part(layout, v, w), pair_key(v, w)):
-        pair[i] = arrays.counts(f"pair-{k}", arrays.place(f"pair-{k}", q))
+    for k, i, n, q in by_group(part(layout, v, w), pair_key(v, w)):
+        pair[i] = np.repeat(arrays.counts(f"pair-{k}", arrays.place(f"pair-{k}", q)), n)
     context, g = pair_key(u, v), part(layout, v, u)
-    for k, i, q in by_group(g, context):
+    for k, i, n, q in by_group(g, context):
         p = arrays.place(f"ctx-{k}", q)
         hit = p >= 0
         if hit.any():
-            stats[i[hit]] = arrays.get(f"ctx-{k}-table")[arrays.counts(f"ctx-{k}-code", p[hit])]
+            stats[i[np.repeat(hit, n)]] = np.repeat(arrays.get(f"ctx-{k}-table")[arrays.counts(f"ctx-{k}-code", p[hit])], n[hit], axis=0)
     some = np.flatnonzero(stats[:, 0])
-    for k, i, q in by_group(g[some], pair_key(context[some], w[some])):
-        tri[some[i]] = arrays.counts(f"tri-{k}", arrays.place(f"tri-{k}", q))
-    return tri, stats, pair, facts[np.searchsorted(words, v)], facts[np.searchsorted(words, w)]
+    for k, i, n, q in by_group(g[some], pair_key(context[some], w[some])):
+        tri[some[i]] = np.repeat(arrays.counts(f"tri-{k}", arrays.place(f"tri-{k}", q)), n)
+    return tri, stats, pair, facts[number[: len(v)]], facts[number[len(v) :]]
 
 
 def probabilities(m: dict, tri: np.ndarray, stats: np.ndarray, pair: np.ndarray, prev: np.ndarray, word: np.ndarray) -> np.ndarray:
