@@ -45,7 +45,7 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 #: MB of input for each group; text bytes that a task counts at a time; arrays that a worker keeps mapped.
 GROUP_MB, COUNTED_BYTES, MAPS = 8, 12 << 20, 4096
 #: Texts, and characters of each, from which the words to be split and the common ones are chosen; most of the latter.
-SAMPLE_TEXTS, SAMPLE_CHARS, COMMON = 1000, 20000, 1 << 16
+SAMPLE_TEXTS, SAMPLE_CHARS, COMMON = 4000, 5000, 100_000
 #: Keys of an array from which on it is stored with a table of where each value of their first 16 bits begins (262 kB).
 TABLE_KEYS = 1 << 17
 LOW8, KEY40 = np.uint64(255), np.uint64((1 << 40) - 1)
@@ -79,7 +79,7 @@ class Layout:
     groups: int
     words: np.ndarray  #: the words that are split, sorted, and into how many groups
     ways: np.ndarray
-    common: np.ndarray  #: frequent words, the most frequent first, which records name by a bit
+    common: np.ndarray  #: frequent words, the most frequent first, which records name by their places
 
 
 def part(layout: Layout, v: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -130,6 +130,22 @@ def numbered(seq: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words[order], number[w], np.sort(p[known])
 
 
+def pack_places(place: np.ndarray, n: int) -> bytes:
+    """Rising places among n: differences, or a bit for each of the n where that is no longer."""
+    steps = pack(np.diff(place, prepend=0))
+    if len(steps) < (n + 7) // 8:
+        return steps
+    there = np.zeros(n, bool)
+    there[place] = True
+    return np.packbits(there).tobytes()
+
+
+def unpack_places(data: bytes, n: int) -> np.ndarray:
+    if len(data) < (n + 7) // 8:
+        return np.cumsum(unpack(data, 1)[0])
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), count=n))
+
+
 def _counted(buf: np.ndarray, off: np.ndarray, layout: Layout) -> list[tuple]:
     """Packed trigrams of some texts by group and kind."""
     seq, first = words_of(buf, off)
@@ -162,13 +178,11 @@ def _counted(buf: np.ndarray, off: np.ndarray, layout: Layout) -> list[tuple]:
             own = np.unique(np.concatenate([u[i], v[i], w[i]]))
             number[own] = np.arange(len(own))
             k = int(np.searchsorted(own, len(common)))
-            named = np.zeros(len(layout.common), bool)
-            named[common[own[:k]]] = True
             at = heads(v[i])
             x = number[u[i]]  # rises within a middle word, as words do: sent as differences
             steps = np.diff(x, prepend=0)
             steps[at] = x[at]
-            parts = [np.packbits(named).tobytes(), pack(np.diff(words[own[k:]], prepend=np.uint64(0))), pack(number[v[i[at]]], np.diff(np.append(at, len(i)))), pack(steps, number[w[i]], c[i])]
+            parts = [pack_places(common[own[:k]], len(layout.common)), pack(np.diff(words[own[k:]], prepend=np.uint64(0))), pack(number[v[i[at]]], np.diff(np.append(at, len(i)))), pack(steps, number[w[i]], c[i])]
             rows.append((int(g[i[0]]), kind, 0, z.compress(np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(parts))))
     return rows
 
@@ -180,8 +194,7 @@ def _trigrams(group: pa.Table, kinds: tuple[int, ...], common: np.ndarray) -> tu
         if kind in kinds:
             data = z.decompress(packed.as_buffer())
             at = np.cumsum([32, *np.frombuffer(data, "<i8", 4)]).tolist()
-            named = np.unpackbits(np.frombuffer(data, np.uint8, at[1] - at[0], at[0]), count=len(common)).astype(bool)
-            words = np.concatenate([common[named], np.cumsum(unpack(data[at[1] : at[2]], 1)[0])])
+            words = np.concatenate([common[unpack_places(data[at[0] : at[1]], len(common))], np.cumsum(unpack(data[at[1] : at[2]], 1)[0])])
             first, times = unpack(data[at[2] : at[3]], 2)
             steps, w, c = unpack(data[at[3] :], 3)
             times, u = times.astype(np.int64), np.cumsum(steps)

@@ -147,6 +147,14 @@ def test_messages_hold_differences():
     assert len(common) < len(set(seq.tolist())) and int(np.frombuffer(data, "<i8", 4)[1]) < 7.5 * len(set(seq.tolist()))
 
 
+@pytest.mark.parametrize(("k", "n", "most"), [(0, 0, 0), (0, 9, 2), (3, 3, 1), (5, 20000, 20), (300, 100_000, 700), (90_000, 100_000, 12500)])
+def test_places_of_common_words_come_back(k, n, most):
+    """Few of many take a byte or two each, not a bit for each of the many."""
+    place = np.sort(np.random.default_rng(k).choice(n, k, replace=False)) if n else np.zeros(0, np.int64)
+    data = kn.pack_places(place, n)
+    assert kn.unpack_places(data, n).tolist() == place.tolist() and len(data) <= most
+
+
 def test_counts_beyond_a_byte():
     few, many = kn.small_counts(np.array([1, 255, 3, 254, 10**6]))
     assert few.tolist() == [1, 255, 3, 254, 255] and many.tolist() == [[1, 255], [4, 10**6]]
